@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 from .textnp import BASE, U, mix
 
 LENGTH, DIMS, BITS = 1024, 4, 12
@@ -213,7 +213,8 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """One row per piece."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = tokenized(docs, path).repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
+    # staged, since range partitioning reads its input twice, once for a sample
+    laid = stage(tokenized(docs, path), "op5-ids").repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(length)

@@ -95,7 +95,7 @@ def window_hash(values: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash of every run of `width` values: blocks of doubling width are joined by Horner's rule."""
     if len(values) < width:
         return np.zeros(0, U)
-    block, size, base = values, 1, BASE
+    block, size, base = values, 1, int(BASE)
     out, have = None, 0
     while True:
         if width & size:
@@ -103,13 +103,13 @@ def window_hash(values: np.ndarray, width: int) -> np.ndarray:
                 out, have = block, size
             else:
                 n = len(values) - have - size + 1
-                out = block[:n] * (base_of(have)) + out[size : size + n]
+                out = block[:n] * base_of(have) + out[size : size + n]
                 have += size
         if size * 2 > width:
             break
         n = len(block) - size
-        block = block[:n] * base + block[size : size + n]
-        base, size = base * base, size * 2
+        block = block[:n] * U(base) + block[size : size + n]
+        base, size = base * base & 0xFFFFFFFFFFFFFFFF, size * 2
     return mix(out[: len(values) - width + 1])
 
 
