@@ -210,7 +210,7 @@ def indexed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def heavy_answers(heavy: DataFrame, width: int) -> DataFrame:
     """As indexed(), for pieces of anchors that have too many of them for one index."""
-    first = stage(heavy.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "h1", "start")).alias("x")).select("anchor", "piece", "x.*"), "op4-heavy")
+    first = heavy.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "h1", "start")).alias("x")).select("anchor", "piece", "x.*")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +222,7 @@ def heavy_answers(heavy: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), *same, pa.array(np.arange(n))], ["a", "b", "doc_id", "h1", "start", "nth"])
 
     each = first.mapInArrow(strings, "a long, b long, doc_id long, h1 long, start long, nth long")
-    best = stage(each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h1", (F.col("start") + F.col("nth")).alias("at"))).alias("best")), "op4-strings")
+    best = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h1", (F.col("start") + F.col("nth")).alias("at"))).alias("best"))
     own = F.struct("doc_id", "h1", (F.col("start") + F.col("nth")).alias("at"))
     flags = each.join(best, ["a", "b"]).withColumn("bit", F.when(F.col("best") < own, "01").otherwise("00"))
     parts = F.array_sort(F.collect_list(F.struct("nth", "bit")))
