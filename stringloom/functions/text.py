@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What counts as white space, and the steps of the presets.
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -27,18 +29,22 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(collapse(c), " "), lambda t: t != "")
 
 
-@F.pandas_udf("string")
-def _fold(s: pd.Series) -> pd.Series:
-    strip = lambda x: None if x is None else unicodedata.normalize("NFC", "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch) != "Mn"))
-    return s.map(strip)
+@lru_cache(1)
+def _folds() -> tuple[str, str]:
+    """Characters that are a base with marks, and their bases, by canonical decomposition."""
+    bare = lambda x: unicodedata.normalize("NFC", "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch) != "Mn"))
+    pairs = [(x, bare(x)) for x in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000)))]
+    pairs = [(x, y) for x, y in pairs if y != x and len(y) == 1]
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
 
 
 def fold(c: Column) -> Column:
-    """Without diacritics; ASCII never leaves the JVM."""
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(_fold(c))
+    """Without diacritics: marked letters become their bases, and marks of their own go. ASCII is left as it is."""
+    marked = F.regexp_replace(F.translate(c, *_folds()), r"\p{Mn}+", "")
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(marked)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _idna(s: pd.Series) -> pd.Series:
     try:
         import idna
