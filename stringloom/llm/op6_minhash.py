@@ -7,8 +7,10 @@ Jaccard similarity. Documents that agree in all ROWS registers of one of the ban
 pair escapes all bands with a chance of 2e-5. For candidates the similarity that makes the seen numbers of greater, equal
 and less registers likeliest is computed; pairs far below the threshold go, the others are verified on their whole sets.
 
-Texts with equal word sequences are collapsed first. In a bucket every member is tested against its least member; only
-where that leaves several components, members of different ones are tested too, in blocks, without emitting pairs.
+Texts with equal word sequences are collapsed first. Each text is tested against the least member of all its buckets. In
+buckets that then hold several components, members outside the least member's are tested against that one; where that still
+leaves several, members of different ones are tested too, in blocks, without emitting pairs. So a pair that shares a bucket
+goes untested only if both ends are in one component already.
 
 Defined results: a null text or one without words has n_shingles 0 and links with nothing. A null doc_id has a null
 component and is kept. Rows that share a doc_id count as one document with the links of all. Other columns are ignored.
@@ -30,7 +32,8 @@ from .textnp import BASE, LOWER, U, arrow_text, mix, powers, signed, slices, spa
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 STEP, SHIFT, TOP = 1.02, 20.0, 4095
-BLOCK = 2048
+#: Members on each side of a block, and shingles of a set that is held there: 8 bytes each.
+BLOCK, LONG = 4096, 1024
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,35 +185,75 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return ready.mapInArrow(run, "a long, b long").distinct()
 
 
-def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of members of one bucket that are in different components so far. In each bucket those outside the
-    component of its least member meet all others, in shards of BLOCK members."""
+def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc_id, center, component, main, size) of members of buckets that hold several components; main is the center's."""
     lab = labels.select(F.col("id").alias("doc_id"), "component")
-    m = members.where("n > 2").join(lab, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    m = members.select("key", "doc_id", "center").join(lab, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.min_by("component", "doc_id").alias("main")).where("lo < hi")
-    mixed = stage(mixed.select("key", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("shards")), "op6-mixed")
-    rows = m.where("doc_id != center").join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"))
-    base = rows.select("key", "doc_id", "component", F.col("own").alias("shard"), F.lit(False).alias("outside"))
-    out = rows.where("component != main").select("key", "doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("outside"))
-    both = base.unionByName(out).join(sketches.select("doc_id", F.col("n").alias("size"), "registers"), "doc_id")
+    mixed = stage(mixed.select("key", "main", "size"), "op6-mixed")
+    return stage(m.join(mixed, "key"), "op6-split")
+
+
+def held_sets(split: DataFrame, docs: DataFrame, sketches: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, registers, set) of the documents in split; set is null where it has over LONG shingles."""
+    ids = split.where("size > 2 AND doc_id != center").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = arrow_text(batch.column(1))
+            for i, j in slices(off):
+                h, o, _ = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                sets = [h[x:y].tobytes() if y - x <= LONG else None for x, y in zip(o[:-1], o[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    found = texts.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    return sketches.select("doc_id", "n", "registers").join(found, "doc_id")
+
+
+def across(split: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """(a, b, sure): pairs of members of one bucket that are in different components so far. In each bucket those outside
+    the component of its least member meet all others, in blocks of at most about BLOCK by BLOCK. A pair is looked at in the
+    first band it agrees in. Where both sets are at hand only linked pairs come out, else likely ones, which are not sure."""
+    grid = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = split.where("size > 2 AND doc_id != center").select("key", "doc_id", "component", "main", grid.alias("grid")).join(sets, "doc_id")
+    every, own = F.sequence(F.lit(0), F.col("grid") - 1), F.pmod(F.xxhash64("doc_id"), F.col("grid")).cast("int")
+    cell = lambda i, j, outside: F.struct(i.alias("i"), j.alias("j"), F.lit(outside).alias("outside"))
+    base = F.transform(every, lambda x: cell(x, own, False))
+    cells = F.when(F.col("component") != F.col("main"), F.concat(base, F.transform(every, lambda x: cell(own, x, True)))).otherwise(base)
+    both = rows.withColumn("cell", F.explode(cells)).select("key", "cell.*", "doc_id", "component", "main", "n", "registers", "set")
 
     def run(t: pa.Table) -> pa.Table:
         side = t.column("outside").to_numpy()
-        ids, comp, size, regs = t.column("doc_id").to_numpy(), t.column("component").to_numpy(), t.column("size").to_numpy(), unpack(t.column("registers"))
+        ids, comp, main, size = (t.column(c).to_numpy() for c in ("doc_id", "component", "main", "n"))
+        regs, sets = unpack(t.column("registers")), t.column("set").to_pylist()
+        band = int((regs == regs[:1]).reshape(-1, BANDS, ROWS).all((0, 2)).argmax())
         o, b = np.flatnonzero(side), np.flatnonzero(~side)
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        found: list[tuple[int, int, bool]] = []
         for i in o:
-            k = b[comp[b] != comp[i]]
+            # of two that are both outside, one looks at the other
+            k = b[(comp[b] != comp[i]) & ((comp[b] == main[b]) | (ids[b] > ids[i]))]
+            if not len(k):
+                continue
+            same = regs[k] == regs[i]
             # below this many equal registers the estimate cannot reach `least`
-            k = k[(regs[k] == regs[i]).sum(1) >= REGISTERS * least * 0.7] if len(k) else k
-            if len(k):
-                est = likeliest(np.broadcast_to(regs[i], (len(k), REGISTERS)), regs[k], np.full(len(k), size[i]), size[k])
-                k = k[est >= least]
-                found.append(np.stack([np.minimum(ids[i], ids[k]), np.maximum(ids[i], ids[k])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return both.groupBy("key", "shard").applyInArrow(run, "a long, b long").distinct()
+            k = k[(same.sum(1) >= REGISTERS * least * 0.7) & ~same.reshape(-1, BANDS, ROWS)[:, :band].all(2).any(1)]
+            if not len(k):
+                continue
+            k = k[likeliest(np.broadcast_to(regs[i], (len(k), REGISTERS)), regs[k], np.full(len(k), size[i]), size[k]) >= least]
+            known = np.array([sets[i] is not None and sets[x] is not None for x in k], bool)
+            if known.any():
+                q = k[known]
+                mine, theirs = np.frombuffer(sets[i], U), np.frombuffer(b"".join([sets[x] for x in q]), U)
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                inter = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[q]) - size[q])
+                q = q[(inter > 0) & (100 * inter >= percent * (size[i] + size[q] - inter))]
+                found += [(min(ids[i], x), max(ids[i], x), True) for x in ids[q]]
+            found += [(min(ids[i], x), max(ids[i], x), False) for x in ids[k[~known]]]
+        cols = list(zip(*found, strict=True)) if found else [[], [], []]
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "sure"])
+
+    return both.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, slack: float = 0.15) -> DataFrame:
@@ -229,13 +272,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, slack: fl
     rows = reps.select("doc_id", band)
     buckets = stage(rows.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "op6-buckets")
     members = stage(rows.join(buckets, "key"), "op6-members")
-    star = members.where("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = members.where("doc_id != center").groupBy(F.col("doc_id").alias("b")).agg(F.min("center").alias("a")).select("a", "b")
     links = stage(verified(likely(star, reps, least), docs, size, percent), "op6-links")
     labels = components(links)
-    rest = stage(across(members, labels, reps, least), "op6-rest")
-    if not rest.isEmpty():
-        links = stage(links.unionByName(verified(rest, docs, size, percent)), "op6-links")
+    split = split_buckets(members, labels)
+    outside = split.where("component != main").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    more = stage(verified(likely(outside, reps, least), docs, size, percent), "op6-links")
+    if not more.isEmpty():
+        links = stage(links.unionByName(more), "op6-links")
         labels = components(links)
+        split = split_buckets(split, labels)
+    more = stage(across(split, held_sets(split, docs, reps, size), least, percent), "op6-rest")
+    if not more.isEmpty():
+        links = links.unionByName(more.where("sure").select("a", "b")).unionByName(verified(more.where("NOT sure").select("a", "b"), docs, size, percent))
+        labels = components(stage(links, "op6-links"))
 
     of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), "copies")
     large = of.orderBy(F.desc("copies"), "s1", "s2").limit(1000).drop("copies")  # these groups of copies need no shuffle
