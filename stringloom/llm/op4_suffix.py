@@ -234,8 +234,9 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> Dat
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; doc_id is NO_ID where it is null."""
     rows = text_rows(docs)
     found = repeated_anchors(rows, byte_anchors(width))
-    info = stage(with_runs(found, first_of_text(rows)), "op4-heads").select("h1", "h2", "doc_id", "found", F.lit(True).alias("head"))
-    texts = rows.join(info, ["h1", "h2", "doc_id"], "left")
+    info = stage(with_runs(found, first_of_text(rows)), "op4-heads").select(F.col("doc_id").alias("d"), F.col("h1").alias("g"), F.col("h2").alias("other"), "found", F.lit(True).alias("head"))
+    # dealt by (doc_id, h1), as the answers are, so texts shuffle once; h2 is compared but no key
+    texts = rows.join(info, (F.col("doc_id") == F.col("d")) & (F.col("h1") == F.col("g")) & (F.col("h2").bitwiseXOR(F.col("other")) == 0), "left").drop("d", "g", "other")
     pieces = texts.where("found IS NOT NULL").select("doc_id", "h1", "text", "found").mapInArrow(lambda b: piece_rows(b, width), "anchor long, piece binary, doc_id long, h1 long, start long")
     # at most 10000 rows; an anchor that is not among them has less than one row in 10000
     large = found.groupBy("anchor").count().where(F.col("count") > heavy).orderBy(F.desc("count"), "anchor").limit(10_000).select("anchor", F.lit(True).alias("heavy"))
