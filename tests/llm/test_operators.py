@@ -101,6 +101,14 @@ def test_op6(docs, odd):
     assert len(rows) == len(got) + 2 and [r.kept for r in rows if r.doc_id is None] == [True]
 
 
+@pytest.mark.parametrize(("block", "long"), [(2, 1024), (4096, -1), (2, 40)])
+def test_op6_blocks(docs, monkeypatch, block, long):
+    monkeypatch.setattr(op6_minhash, "BLOCK", block)
+    monkeypatch.setattr(op6_minhash, "LONG", long)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op6_minhash.near_duplicates(docs).collect()}
+    assert got == near_truth()
+
+
 def test_op6_registers_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
