@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stage, table
 from .textnp import BASE, U, arrow_text, mix, signed, slices, spans_hash, word_bounds
 
-VOCABULARY, LOG2 = 1 << 16, 21
+VOCABULARY, LOG2, BLOOM = 1 << 16, 21, 26
 START, MIX = VOCABULARY + 1, 0.6
 
 
@@ -53,6 +53,21 @@ def bigrams(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before[: len(ids)], (mix(before[: len(ids)].astype(U) * BASE + ids.astype(U)) >> U(64 - LOG2)).astype(np.int64)
 
 
+def marked(texts: DataFrame, target: DataFrame) -> DataFrame:
+    """(text, target) of every row of texts. Rows whose id is not in a Bloom filter of the target's ids don't shuffle.
+
+    The filter has 2**BLOOM bits whatever the input; beyond its capacity more rows shuffle and the result stays the same.
+    """
+    ids = stage(target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "op10-target")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
+    flagged = texts.withColumn("slot", slot).join(F.broadcast(words), F.shiftright("slot", 6) == F.col("word"), "left")  # at most 2**(BLOOM - 6) rows
+    hit = "doc_id IS NOT NULL AND coalesce(bits & shiftleft(1L, cast(slot & 63 AS int)), 0L) != 0"
+    sure = flagged.where(f"NOT ({hit})").select("text", F.lit(False).alias("target"))
+    rest = flagged.where(hit).select("doc_id", "text").join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
+    return sure.unionByName(rest.select("text", F.coalesce("target", F.lit(False)).alias("target")))
+
+
 def lm_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row; target has the doc_ids of the target."""
     sc = docs.sparkSession.sparkContext
@@ -80,8 +95,7 @@ def lm_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
             k = used[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(cells[0, k].astype(np.int64)), pa.array(cells[1, k].astype(np.int64))], ["cell", "background", "target"])
 
-    marked = texts.join(target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("target")).distinct(), "doc_id", "left")
-    counts = marked.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(count, "cell long, background long, target long")
+    counts = marked(texts, target).mapInArrow(count, "cell long, background long, target long")
     counts = stage(counts.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "op10-counts")
     got = counts.toArrow()  # of fixed size: a row per cell at most
     cells = np.zeros((2, (1 << LOG2) + VOCABULARY + 2))

@@ -247,6 +247,16 @@ def test_op10(spark):
     assert got[1].score > 0 > got[0].score and got[1].n_tokens == 4 and got[90].score == 0 == got[91].n_tokens
 
 
+def test_op10_marks_target(spark, monkeypatch):
+    ids = [3, 5, 5, 70, None, 1 << 40]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in (*range(80), 5, None, None, 1 << 40)], "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for bits in (6, 26):  # a full filter gives the same rows
+        monkeypatch.setattr(op10_lm_score, "BLOOM", bits)
+        got = sorted(tuple(r) for r in op10_lm_score.marked(docs, target).collect())
+        assert got == sorted((t, i is not None and i in ids) for i, t in ((r.doc_id, r.text) for r in docs.collect()))
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     for f in (op1_substring.substring_dedup, op4_suffix.suffix_dedup, op6_minhash.near_duplicates, op9_exact_dedup.exact_dedup, op8_mixing.mix, op5_packing.pack):
