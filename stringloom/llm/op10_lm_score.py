@@ -1,12 +1,13 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary, the VOCABULARY words that are most frequent in all documents, all others being one
-unknown word. The target model counts the documents labelled of quality 1, the background model all documents. Counts are
-of the whole corpus: each task adds up its own tables of 2**LOG2 hashed bigrams and of words, and Spark sums them by cell.
+Two bigram models share one vocabulary, all words of all documents. The target model counts the documents labelled of quality
+1, the background model all documents. Counts are of the whole corpus and exact: each task adds up the pairs of neighbouring
+words of its texts, and Spark sums them by pair and by word. Nothing has a limit: the losses of all distinct pairs stay a table,
+which is joined to the distinct pairs of each document, so what is gathered grows with the input and the driver gets one row.
 Both models smooth alike, and the background's counts are scaled to the target's total, so they match in all but content.
 A document's score is the mean over its tokens of background loss less target loss, in nats: higher is more like the target.
 
-The tables have a fixed size; where cells collide, both models share the error.
+Words and pairs go by 64-bit hashes. Losses are summed as integers of 1 / SCALE nats, so the order of sums does not matter.
 
 Defined results: a null or empty text has n_tokens 0 and score 0. Without target documents the models are equal and all
 scores 0. Rows that share a doc_id are each scored. Other columns are ignored.
@@ -18,39 +19,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
 from .textnp import BASE, U, arrow_text, mix, signed, slices, spans_hash, word_bounds
 
-VOCABULARY, LOG2, BLOOM = 1 << 16, 21, 26
-START, MIX = VOCABULARY + 1, 0.6
+BLOOM = 26
+START, MIX, SCALE = U(0), 0.6, 1_000_000_000
+#: Tokens whose pairs a task adds up before it sends them.
+HELD = 1 << 21
 
 
-def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = arrow_text(batch.column(0))
-        for i, j in slices(off, 16_000_000):
-            starts, ends, _ = word_bounds(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            w, n = np.unique(spans_hash(buf[off[i] : off[j]], starts, ends), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(n)], ["word", "n"])
-
-
-def numbers(buf: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers, VOCABULARY for unknown ones, and rows."""
+def bigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pair that each word ends, the word before it (START at the head of a row), the word, and rows."""
     starts, ends, row = word_bounds(buf, off)
     words = spans_hash(buf, starts, ends)
-    at = np.searchsorted(vocabulary, words)
-    known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == words if len(vocabulary) else np.zeros(len(words), bool)
-    return np.where(known, at, VOCABULARY), row
+    before = np.append(START, words[:-1])[: len(words)]
+    before[np.append(True, row[1:] != row[:-1])[: len(row)]] = START
+    return mix(before * BASE + words), before, words, row
 
 
-def bigrams(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each (START at the head of a row) and the cell of the pair."""
-    before = np.append(START, ids[:-1])
-    before[np.append(True, row[1:] != row[:-1])[: len(row)]] = START
-    return before[: len(ids)], (mix(before[: len(ids)].astype(U) * BASE + ids.astype(U)) >> U(64 - LOG2)).astype(np.int64)
+def heads(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(before, word, background, target): pairs of (text, target), added up over some HELD tokens."""
+
+    def added(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        pair, before, words, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(pair)
+        first = heads(pair[order])
+        at = order[first]
+        n = np.diff(np.append(first, len(order)))
+        columns = [signed(before[at]), signed(words[at]), n, np.add.reduceat(own[order].astype(np.int64), first)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["before", "word", "background", "target"])
+
+    held, n = [], 0
+    for batch in batches:
+        buf, off = arrow_text(batch.column("text"))
+        wanted = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+        for i, j in slices(off):
+            pair, before, words, row = bigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            if not len(pair):
+                continue
+            held.append((pair, before, words, wanted[i:j][row]))
+            n += len(pair)
+            if n >= HELD:
+                yield added(held)
+                held, n = [], 0
+    if held:
+        yield added(held)
+
+
+def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(before, word, row, n, doc_id): the distinct pairs of each row; and a pair of no tokens and its own that has the doc_id."""
+    for batch in batches:
+        buf, off = arrow_text(batch.column("text"))
+        ids = batch.column("row").to_numpy()
+        names = ["before", "word", "row", "n", "doc_id"]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids.astype(U)))), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids), pa.array(np.zeros(len(ids), np.int32)), batch.column("doc_id")], names)
+        for i, j in slices(off):
+            pair, before, words, row = bigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            if not len(pair):
+                continue
+            order = np.lexsort((pair, row))
+            first = heads(pair[order], row[order])
+            n = np.diff(np.append(first, len(pair))).astype(np.int32)
+            at = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(before[at])), pa.array(signed(words[at])), pa.array(ids[i:j][row[at]]), pa.array(n), pa.nulls(len(first), pa.int64())], names)
 
 
 def marked(texts: DataFrame, target: DataFrame) -> DataFrame:
@@ -68,66 +109,44 @@ def marked(texts: DataFrame, target: DataFrame) -> DataFrame:
     return sure.unionByName(rest.select("text", F.coalesce("target", F.lit(False)).alias("target")))
 
 
+def pair_key() -> Column:
+    return F.xxhash64("before", "word").alias("pair")
+
+
+def pair_losses(counts: DataFrame) -> DataFrame:
+    """(pair, target_loss, background_loss) of all pairs, in 1 / SCALE nats."""
+    ends = counts.select(F.col("word"), F.lit(0).cast("long").alias("background"), F.lit(0).cast("long").alias("target"))
+    words = counts.select(F.col("before").alias("word"), "background", "target").unionByName(ends)
+    words = stage(words.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "op10-words")
+    total = words.agg(F.count(F.lit(1)), F.sum("background"), F.sum("target")).first()
+    n, background, target = (int(x or 0) for x in total)
+    same = not target  # both models are the background's
+    size = {"background": float(target or background), "target": float(target or background)}
+    scale = {"background": 1.0 if same else target / max(background, 1), "target": 1.0}
+
+    def loss(model: str):
+        of = "background" if same else model
+        count, before, word = (F.col(f"{t}.{of}") * F.lit(scale[model]) for t in ("c", "b", "w"))
+        p = F.lit(MIX) * count / F.greatest(before, F.lit(1e-9)) + F.lit(1 - MIX) * (word + F.lit(0.5)) / F.lit(size[model] + 0.5 * n)
+        return F.round(-F.ln(F.least(p, F.lit(1.0))) * F.lit(float(SCALE))).cast("long").alias(f"{model}_loss")
+
+    both = counts.alias("c").join(words.alias("b").hint("merge"), F.col("c.before") == F.col("b.word")).join(words.alias("w").hint("merge"), F.col("c.word") == F.col("w.word"))
+    losses = both.select("c.before", "c.word", loss("target"), loss("background")).select(pair_key(), "target_loss", "background_loss")
+    return losses.groupBy("pair").agg(F.min("target_loss").alias("target_loss"), F.min("background_loss").alias("background_loss"))
+
+
 def lm_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row; target has the doc_ids of the target."""
-    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    top = texts.select("text").mapInArrow(word_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    words = np.sort(np.array([r[0] for r in top.select("word").collect()], np.int64).view(U))  # VOCABULARY rows at most
-    vocabulary = sc.broadcast(words)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((2, (1 << LOG2) + VOCABULARY + 2), np.int32)
-        for batch in batches:
-            buf, off = arrow_text(batch.column("text"))
-            wanted = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in slices(off):
-                ids, row = numbers(buf[off[i] : off[j]], off[i : j + 1] - off[i], vocabulary.value)
-                if not len(ids):
-                    continue
-                before, cell = bigrams(ids, row)
-                own = wanted[i:j][row]
-                for k, pick in ((0, slice(None)), (1, own)):
-                    np.add.at(cells[k], cell[pick], 1)
-                    np.add.at(cells[k], (1 << LOG2) + before[pick], 1)
-        used = np.flatnonzero(cells[0])
-        for at in range(0, len(used), 1 << 18):
-            k = used[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(cells[0, k].astype(np.int64)), pa.array(cells[1, k].astype(np.int64))], ["cell", "background", "target"])
-
-    counts = marked(texts, target).mapInArrow(count, "cell long, background long, target long")
-    counts = stage(counts.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "op10-counts")
-    got = counts.toArrow()  # of fixed size: a row per cell at most
-    cells = np.zeros((2, (1 << LOG2) + VOCABULARY + 2))
-    k = got.column("cell").to_numpy()
-    cells[0, k], cells[1, k] = got.column("background").to_numpy(), got.column("target").to_numpy()
-    total = cells[:, 1 << LOG2 :].sum(1)
-    if total[1] > 0:
-        cells[0] *= total[1] / total[0]
-    else:
-        cells[1] = cells[0]
-    model = sc.broadcast(cells.astype(np.float32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = model.value
-        heads = both[:, 1 << LOG2 :]
-        for batch in batches:
-            buf, off = arrow_text(batch.column("text"))
-            n, loss = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
-            for i, j in slices(off):
-                ids, row = numbers(buf[off[i] : off[j]], off[i : j + 1] - off[i], vocabulary.value)
-                if not len(ids):
-                    continue
-                before, cell = bigrams(ids, row)
-                n[i:j] = np.bincount(row, minlength=j - i)
-                for m in (0, 1):
-                    word = (heads[m][ids] + 0.5) / (heads[m].sum() + 0.5 * len(heads[m]))
-                    p = MIX * both[m][cell] / np.maximum(heads[m][before], 1e-9) + (1 - MIX) * word
-                    loss[m, i:j] = np.bincount(row, -np.log(np.minimum(p, 1)), j - i)
-            mean = loss / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[0] - mean[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    counts = marked(texts, target).mapInArrow(count_rows, "before long, word long, background long, target long")
+    counts = stage(counts.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "op10-counts")
+
+    rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(document_rows, "before long, word long, row long, n int, doc_id long").select(pair_key(), "row", "n", "doc_id")
+    found = rows.join(pair_losses(counts).hint("merge"), "pair", "left")
+    sums = (F.sum(F.col("n") * F.coalesce(f"{m}_loss", F.lit(0).cast("long"))).alias(m) for m in ("target", "background"))
+    scored = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *sums)
+    mean = lambda c: F.col(c) / F.greatest("n_tokens", F.lit(1)) / F.lit(float(SCALE))
+    return scored.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"), ((F.col("background") - F.col("target")) / F.greatest("n_tokens", F.lit(1)) / F.lit(float(SCALE))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,39 @@ def test_op10_marks_target(spark, monkeypatch):
         assert got == sorted((t, i is not None and i in ids) for i, t in ((r.doc_id, r.text) for r in docs.collect()))
 
 
+def test_op10_counts_exactly(spark):
+    """More words than any fixed vocabulary: every word and pair counts as itself."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["red", "green", "blue"], k=20) + [f"w{i}x{k}" for k in range(200)] + [f"w{rng.randrange(400)}x{rng.randrange(200)}" for _ in range(20)]) for i in range(400)]
+    rows = [*enumerate(texts), (7, "red w9x9"), (None, "blue blue"), (900, None), (901, " ")]
+    target = {i for i, _ in rows if i is not None and i % 5 == 0}
+    pairs, heads = (Counter(), Counter()), (Counter(), Counter())
+    words = [["", *(t or "").split()] for _, t in rows]
+    for (i, _), w in zip(rows, words, strict=True):
+        for m in (0, 1) if i in target else (0,):
+            pairs[m].update(zip(w, w[1:]))
+            heads[m].update(w[:-1])
+    total, n = [sum(h.values()) for h in heads], len({x for w in words for x in w})
+    assert n > 1 << 16
+    scale = (total[1] / total[0], 1)
+    want = []
+    for (i, _), w in zip(rows, words, strict=True):
+        loss = [0.0, 0.0]
+        for m in (0, 1):
+            for b, x in zip(w, w[1:]):
+                p = 0.6 * pairs[m][b, x] * scale[m] / max(heads[m][b] * scale[m], 1e-9) + 0.4 * (heads[m][x] * scale[m] + 0.5) / (total[1] + 0.5 * n)
+                loss[m] -= math.log(min(p, 1))
+        want.append((str(i), len(w) - 1, *(round(x / max(len(w) - 1, 1), 6) for x in (loss[1], loss[0], loss[0] - loss[1]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss, r.score) for r in op10_lm_score.lm_scores(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()]
+    assert len(got) == len(want)
+    for g, x in zip(sorted(got), sorted(want), strict=True):
+        assert g[:2] == x[:2] and np.allclose(g[2:], x[2:], atol=2e-6)
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     for f in (op1_substring.substring_dedup, op4_suffix.suffix_dedup, op6_minhash.near_duplicates, op9_exact_dedup.exact_dedup, op8_mixing.mix, op5_packing.pack):
