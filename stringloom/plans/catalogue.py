@@ -173,6 +173,10 @@ QUERIES = {
     "recall_by_category": recall,
     "latency_histogram": latency,
 }
+# Over whole texts, without SQL, as strip_accents differs from fold(); the tests compare them with brute force.
+QUERIES |= {
+    "analyze_fold_diacritics_whole": lambda s, d: T(s, d, "documents").select("doc_id", fold(F.col("text")).alias("a")),
+}
 
 _EXACT = "SELECT query_id, entry_id, 100.0::DOUBLE AS score, key FROM"
 _LOG = """b AS (SELECT p_partkey AS ord, 'p' || p_partkey AS id, p_name AS k FROM part),

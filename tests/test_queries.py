@@ -28,3 +28,13 @@ def test_query_equals_sql(spark, duck, name):
 def test_recall(spark):
     rows = {r.category: r.recall for r in catalogue.QUERIES["recall_by_category"](spark, DIR).collect()}
     assert rows["EXACT"] == 1.0 and rows["DOUBLE"] == 1.0
+
+
+def test_fold_takes_whole_texts(spark, tmp_path):
+    import unicodedata
+
+    texts = ["é" * 70 + " plain " * 20 + "über ñandú", "x" * 64 + "àéîõü", "plain", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bare = lambda t: t and "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    got = {r.doc_id: r.a for r in catalogue.QUERIES["analyze_fold_diacritics_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: bare(t) for i, t in enumerate(texts)}
