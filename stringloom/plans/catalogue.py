@@ -26,9 +26,9 @@ def parts(spark: SparkSession, d: str, *keys: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.array(*(keys or ("p_name",))).alias("keys"), payload.alias("payload"))
 
 
-def typos(spark: SparkSession, d: str) -> DataFrame:
+def typos(spark: SparkSession, d: str, which: str = "p_partkey <= 40") -> DataFrame:
     """Part names without their third letter."""
-    p = T(spark, d, "part").where("p_partkey <= 40")
+    p = T(spark, d, "part").where(which)
     return p.select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1000)).alias("q"))
 
 
@@ -71,9 +71,9 @@ def hosts(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("query_id"), F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1).alias("q"))
 
 
-def domains(spark: SparkSession, d: str) -> DataFrame:
-    """Every third page's host without its first label, once, with the least page_id as ordinal."""
-    h = T(spark, d, "pages").where("page_id % 3 = 0").select("page_id", F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1), r"^[^.]*\.", "").alias("k"))
+def domains(spark: SparkSession, d: str, which: str = "page_id % 3 = 0") -> DataFrame:
+    """The pages' hosts without their first labels, once, with the least page_id as ordinal."""
+    h = T(spark, d, "pages").where(which).select("page_id", F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1), r"^[^.]*\.", "").alias("k"))
     return h.groupBy("k").agg(F.min("page_id").alias("ord")).select("ord", F.concat(F.lit("d"), F.col("ord").cast("string")).alias("id"), F.array("k").alias("keys"))
 
 
@@ -114,9 +114,9 @@ def latency(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "events").where("value IS NOT NULL").groupBy("event_type", le.alias("le")).count()
 
 
-def recall(spark: SparkSession, d: str) -> DataFrame:
+def recall(spark: SparkSession, d: str, which: str = "p_partkey <= 40") -> DataFrame:
     """Share of perturbed part names that find their part's name among the hits."""
-    p = T(spark, d, "part").where("p_partkey <= 40")
+    p = T(spark, d, "part").where(which)
     n = F.col("p_name")
     kinds = {"EXACT": n, "DROP": F.concat(F.substring(n, 1, 2), F.substring(n, 4, 1000)), "FUSED": F.replace(n, F.lit(" "), F.lit("")), "DOUBLE": F.concat(n, F.lit(" "), n)}
     cases = p.select("p_partkey", n.alias("truth"), F.explode(F.array(*(F.struct(F.lit(k).alias("category"), v.alias("q")) for k, v in kinds.items()))).alias("c")).select("truth", "c.*", F.concat("c.category", F.col("p_partkey").cast("string")).alias("query_id"))
@@ -125,16 +125,32 @@ def recall(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("category").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("cases"))
 
 
-def golden(spark: SparkSession, d: str) -> DataFrame:
+def golden(spark: SparkSession, d: str, which: str = "p_partkey <= 20") -> DataFrame:
     """Whether each part's own name finds it with a score of 100."""
-    own = T(spark, d, "part").where("p_partkey <= 20").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("query_id"), F.col("p_name").alias("q"))
+    own = T(spark, d, "part").where(which).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("query_id"), F.col("p_name").alias("q"))
     hits = search.ngram_search(own, parts(spark, d), CFG.but(topk=0), with_keys=False)
     ok = hits.where("query_id = entry_id AND score = 100").select("query_id", F.lit(True).alias("ok"))
     return own.select("query_id").join(ok, "query_id", "left").select("query_id", F.coalesce("ok", F.lit(False)).alias("passed"))
 
 
-def filtered(text: str):
-    return lambda s, d: search.ngram_search(typos(s, d), parts(s, d), CFG, TypedFilter.parse(text))
+def exact_lookup(spark: SparkSession, d: str, which: str = "c_custkey % 3 = 0") -> DataFrame:
+    c = T(spark, d, "customer")
+    q = c.where(which).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"), F.concat(F.lit(" "), F.lower("c_name")).alias("q"))
+    return search.exact_search(q, c.select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("id"), F.array("c_name").alias("keys")), ListConfig(steps="identifier", mode="exact"))
+
+
+def exact_topk_order(spark: SparkSession, d: str, which: str = "p_partkey <= 10") -> DataFrame:
+    q = T(spark, d, "part").where(which).select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.col("p_name").alias("q"))
+    return search.exact_search(q, parts(spark, d), ListConfig(steps="identifier", mode="exact", topk=3))
+
+
+def compact_search(spark: SparkSession, d: str, which: str = "p_partkey <= 30") -> DataFrame:
+    q = T(spark, d, "part").where(which).select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.concat("p_name", F.lit(" NEW")).alias("q"))
+    return search.exact_search(q, live_rows(spark, d).select(F.substring("id", 2, 20).cast("long").alias("ord"), "id", F.array("key").alias("keys")), ListConfig(steps="identifier", mode="exact", topk=4))
+
+
+def filtered(text: str, which: str = "p_partkey <= 40"):
+    return lambda s, d: search.ngram_search(typos(s, d, which), parts(s, d), CFG, TypedFilter.parse(text))
 
 
 FIRST = ['{"brand":"Brand#11"}', '{"size":{"in":[1,2,3.0,4e0,5,10]}}']
@@ -154,14 +170,14 @@ QUERIES = {
     "filtered_search": filtered(FIRST[0]),
     "filtered_in": filtered(FIRST[1]),
     "tombstone_mask": lambda s, d: search.ngram_search(typos(s, d), parts(s, d), CFG.but(topk=3), dead=parts(s, d).where("ord % 7 = 0")),
-    "exact_lookup": lambda s, d: search.exact_search(T(s, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"), F.concat(F.lit(" "), F.lower("c_name")).alias("q")), T(s, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("id"), F.array("c_name").alias("keys")), ListConfig(steps="identifier", mode="exact")),
-    "exact_topk_order": lambda s, d: search.exact_search(T(s, d, "part").where("p_partkey <= 10").select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.col("p_name").alias("q")), parts(s, d), ListConfig(steps="identifier", mode="exact", topk=3)),
+    "exact_lookup": exact_lookup,
+    "exact_topk_order": exact_topk_order,
     "parent_domain": lambda s, d: search.exact_search(hosts(s, d), domains(s, d), ListConfig(steps="domain", mode="exact", fallback="parent_domain")),
     "parent_domain_strict": lambda s, d: search.exact_search(hosts(s, d), domains(s, d), ListConfig(steps="domain", mode="exact", fallback="parent_domain", threshold=0.95)),
     "parent_suffixes": lambda s, d: hosts(s, d).select("query_id", F.posexplode(parents(F.col("q"))).alias("level", "suffix")),
     "journal_fold": lambda s, d: store.fold(log(s, d)).select("id", "op"),
     "live_entries": live_rows,
-    "compact_search": lambda s, d: search.exact_search(T(s, d, "part").where("p_partkey <= 30").select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.concat("p_name", F.lit(" NEW")).alias("q")), live_rows(s, d).select(F.substring("id", 2, 20).cast("long").alias("ord"), "id", F.array("key").alias("keys")), ListConfig(steps="identifier", mode="exact", topk=4)),
+    "compact_search": compact_search,
     "list_status": lambda s, d: store.status(parts(s, d), store.fold(log(s, d))),
     "delta_diff": op_counts,
     "dedupe_last_wins": lambda s, d: store.dedupe_last(T(s, d, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("p"))),
@@ -174,8 +190,25 @@ QUERIES = {
     "latency_histogram": latency,
 }
 # Over whole texts, without SQL, as strip_accents differs from fold(); the tests compare them with brute force.
+# Likewise with every row of part, customer and pages as a lookup or entry: the plans above take some ids only, as their SQL does.
+ALL = "true"
 QUERIES |= {
     "analyze_fold_diacritics_whole": lambda s, d: T(s, d, "documents").select("doc_id", fold(F.col("text")).alias("a")),
+    "ngram_search_whole": lambda s, d: search.ngram_search(typos(s, d, ALL), parts(s, d), CFG, prefix=False),
+    "ngram_search_prefix_whole": lambda s, d: search.ngram_search(typos(s, d, ALL), parts(s, d), CFG),
+    "ngram_search_multikey_whole": lambda s, d: search.ngram_search(typos(s, d, ALL), parts(s, d, "p_brand", "p_name"), CFG),
+    "ngram_nofloor_whole": lambda s, d: search.ngram_search(typos(s, d, ALL), parts(s, d), CFG.but(threshold=-1.0)),
+    "ngram_strict_whole": lambda s, d: search.ngram_search(typos(s, d, ALL), parts(s, d), CFG.but(threshold=1.0)),
+    "filtered_search_whole": filtered(FIRST[0], ALL),
+    "filtered_in_whole": filtered(FIRST[1], ALL),
+    "tombstone_mask_whole": lambda s, d: search.ngram_search(typos(s, d, ALL), parts(s, d), CFG.but(topk=3), dead=parts(s, d).where("ord % 7 = 0")),
+    "exact_lookup_whole": lambda s, d: exact_lookup(s, d, ALL),
+    "exact_topk_order_whole": lambda s, d: exact_topk_order(s, d, ALL),
+    "parent_domain_whole": lambda s, d: search.exact_search(hosts(s, d), domains(s, d, ALL), ListConfig(steps="domain", mode="exact", fallback="parent_domain")),
+    "parent_domain_strict_whole": lambda s, d: search.exact_search(hosts(s, d), domains(s, d, ALL), ListConfig(steps="domain", mode="exact", fallback="parent_domain", threshold=0.95)),
+    "compact_search_whole": lambda s, d: compact_search(s, d, ALL),
+    "golden_probes_whole": lambda s, d: golden(s, d, ALL),
+    "recall_by_category_whole": lambda s, d: recall(s, d, ALL),
 }
 
 _EXACT = "SELECT query_id, entry_id, 100.0::DOUBLE AS score, key FROM"
