@@ -1,10 +1,13 @@
 """HTML main text by a site style tree.
 
-The pages of a host are merged into one tree of element paths (tag and class). A node's content importance is one less the
-mean entropy of its texts over the pages that have it: what recurs on many pages carries little. Presentation says what
-element and class names say: menus, headers, footers, asides, notices, adverts, forms and comments are noise at any count
-of pages. Branches that either marks as noise are removed from each page; if a page has an article (or main), only that is
-kept. Entropies are counted in Spark by path hash, and only nodes of low importance, the noise, go back to the pages.
+The pages of a host are merged into one tree of element paths (tag and class), articles included. A node's content importance
+is the entropy of its texts over the pages that have it, its presentation importance that of the styles of its children: what
+recurs alike on the pages of a host carries little. Nodes that both say little of are noise, on every page. Names decide the
+rest: menus, headers, footers, asides, notices, adverts, forms and comments are noise by tag, role, or a whole class or id.
+Such a branch stays, though, if it has over half of the page's unique text, which is what the tree does not call noise, or
+the page's largest article where no article is outside such branches; the tree then decides inside it. If an article (or main)
+has text left, only articles are kept. A page that the tree would empty keeps what names leave. Entropies are counted in Spark,
+and only the noise goes back to the pages.
 
 Blocks are what block elements enclose; inline elements and <br> do not end them. Character references are decoded, white
 space becomes single spaces, blocks are joined by a line feed.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +32,6 @@ from .common import stage, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-NAME = re.compile(r"[a-z]+")
 # Element and class names of HTML pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe textarea title svg".split())
@@ -39,38 +42,40 @@ NOISE_NAMES = frozenset("ad ads advert adverts advertisement advertising banner
 MAIN_ROLES = frozenset(("article", "main"))
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog".split())
 
-LOW, PAGES = 0.2, 8
+#: A page alone has no entropy.
+LOW, PAGES = 0.2, 2
 
 
-def noisy(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element is noise by its names, and its style for the tree."""
-    if not attributes.strip():
-        return tag in NOISE_TAGS and not (inside and tag == "header"), tag
-    noise, style = tag in NOISE_TAGS and not (inside and tag == "header"), tag
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
+def noisy(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is noise by its names, whether it is hidden, and its style for the tree."""
+    noise, hidden, style = tag in NOISE_TAGS and not (inside and tag == "header"), False, tag
+    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            noise |= any(x in NOISE_NAMES for x in NAME.findall(value)) and tag not in ("body", "html", "article" if inside else "body", "main")
+            found = NOISE_NAMES.intersection(value.split())
+            noise |= bool(found - {"header"} if inside else found) and tag not in ("body", "html", "main")
             if name == "class":
                 style += "." + ".".join(sorted(value.split()))
         elif name == "role":
             noise |= value in NOISE_ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            noise = True
-    return noise, style
+            hidden = True
+    return noise, hidden, style
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int]]:
-    """The blocks with text: path, text, whether a branch above is noise, and the number of the article it is in (0: none)."""
-    out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
+def blocks(page: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], dict[str, list[str]]]:
+    """The blocks with text that are not hidden: path, text, the numbers of the branches above that are noise by name, and
+    the number of the article it is in (0: none). And the styles of each path's children."""
+    out: list[tuple[str, str, tuple[int, ...], int]] = []
+    children: dict[str, list[str]] = {}
+    stack: list[tuple[str, str, tuple[int, ...], int, bool]] = [("", "", (), 0, False)]
     parts: list[str] = []
-    articles, at, n = 0, 0, len(page)
+    articles, branches, at, n = 0, 0, 0, len(page)
 
     def end() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
+            if text and not stack[-1][4]:
                 k = len(stack) - 1
                 while k and stack[k][0] in INLINE:
                     k -= 1
@@ -111,14 +116,40 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
         if tag in ENDS_P and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
             stack.pop()
         up = stack[-1]
-        noise, style = noisy(tag, m[3], up[3] > 0)
-        inside = up[3]
-        if not inside and (tag in MAIN_ROLES or 'role="main"' in m[3]) and not (noise or up[2]):
+        noise, hidden, style = noisy(tag, m[3], up[3] > 0)
+        inside, above = up[3], up[2]
+        if noise:
+            branches += 1
+            above = (*above, branches)
+        if not inside and (tag in MAIN_ROLES or 'role="main"' in m[3]) and not noise:
             articles += 1
             inside = articles
-        stack.append((tag, f"{up[1]}/{style}", up[2] or noise, inside))
+        children.setdefault(up[1], []).append(style)
+        stack.append((tag, f"{up[1]}/{style}", above, inside, up[4] or hidden))
     end()
-    return out
+    return out, children
+
+
+def kept(page: str, low: set[str]) -> list[str]:
+    """The texts of a page's main blocks; low: its host's noise."""
+    found, _ = blocks(page)
+    unique = [0 if p in low else len(t) for p, t, _, _ in found]
+    of_branch: Counter[int] = Counter()
+    of_article: Counter[int] = Counter()
+    for n, (_, _, above, article) in zip(unique, found, strict=True):
+        for k in above:
+            of_branch[k] += n
+        of_article[article] += n
+    stay = {k for k, n in of_branch.items() if 2 * n > sum(unique)}
+    start: dict[int, set[int]] = {}  # the branches around an article: those above all of its blocks
+    for _, _, above, article in found:
+        if article:
+            start[article] = start.get(article, set(above)) & set(above)
+    if start and all(x - stay for x in start.values()):
+        stay |= start[max(start, key=lambda k: (of_article[k], -k))]
+    named = [x for x in found if stay.issuperset(x[2])]
+    good = [x for x in named if x[0] not in low] or named
+    return [t for _, t, _, _ in ([x for x in good if x[3]] or good)]
 
 
 def host_of(c: str) -> Column:
@@ -126,23 +157,27 @@ def host_of(c: str) -> Column:
 
 
 def site_noise(pages: DataFrame, low: float = LOW, least: int = PAGES) -> DataFrame:
-    """(host, path): nodes outside articles whose content importance is below `low` on at least `least` pages."""
+    """(host, path): nodes with text whose content and presentation importance are below `low` on at least `least` pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, str, str | None]] = []
+            rows: list[tuple[str, str, str, bool]] = []
             for h, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                seen = {(p, t) for p, t, noise, article in blocks(x) if not noise and not article}
-                rows += [(h, p, t) for p, t in seen] + [(h, p, None) for p in {p for p, _ in seen}]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["host", "path", "content"])
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, path string, content string")
-    count = seen.groupBy("host", "path", F.xxhash64("content").alias("k"), F.col("content").isNull().alias("page")).count()
+                found, children = blocks(x)
+                seen = {(p, t) for p, t, _, _ in found}
+                rows += [(h, p, t, False) for p, t in seen] + [(h, p, ">".join(children.get(p, ())), True) for p in {p for p, _ in seen}]
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "path", "value", "page"])
+
+    seen = pages.select("host", "html").mapInArrow(run, "host string, path string, value string, page boolean")
+    count = seen.groupBy("host", "path", F.xxhash64("value").alias("k"), "page").count()
+    # A row of `page` for each page that has the node, its value the node's presentation; the others are its texts.
     m = F.sum(F.when(F.col("page"), F.col("count")))
-    entropy = F.sum(F.when(~F.col("page"), F.col("count") * F.ln("count"))) / F.sum(F.when(~F.col("page"), F.col("count")))
-    node = count.groupBy("host", "path").agg(m.alias("m"), entropy.alias("h"))
-    return node.where(F.col("m") >= least).where(1 - F.col("h") / F.ln("m") < low).select("host", "path")
+    same = [F.sum(F.when(x, F.col("count") * F.ln("count"))) / F.sum(F.when(x, F.col("count"))) for x in (~F.col("page"), F.col("page"))]
+    node = count.groupBy("host", "path").agg(m.alias("m"), same[0].alias("content"), same[1].alias("presentation"))
+    importance = F.greatest(*(1 - F.col(x) / F.ln("m") for x in ("content", "presentation")))
+    return node.where(F.col("m") >= max(least, 2)).where(importance < low).select("host", "path")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -154,15 +189,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def extract(html: pd.Series, noise: pd.Series) -> pd.Series:
-        out = []
-        for page, low in zip(html, noise, strict=True):
-            found = blocks(page) if page else []
-            if any(a and not n for _, _, n, a in found):
-                kept = [t for _, t, n, a in found if a and not n]
-            else:
-                bad = set(low) if low is not None else set()
-                kept = [t for p, t, n, _ in found if not n and p not in bad]
-            out.append("\n".join(kept))
+        out = ["\n".join(kept(page, set(low) if low is not None else set())) for page, low in zip(html, noise, strict=True)]
         return pd.Series(out, dtype=object)
 
     joined = rows.join(by_host.withColumnRenamed("host", "__h"), F.col("__host") == F.col("__h"), "left").drop("__h")

@@ -241,6 +241,14 @@ def test_op7_style_tree(spark):
     assert all(r.text == f"Own text {r.page_id} here" for r in got)
 
 
+def test_op7_tree_decides_inside_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><div class=letter>Get our letter</div><p>Own text {0} here</p></article><div class=foot>Same</div>"
+    rows = [(i, f"http://{h}.example/x", page.format(i)) for h, n in (("a", 12), ("b", 3)) for i in range(n)] + [(77, "http://c.example", page.format(77))]
+    got = op7_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Title {r.page_id}\nOwn text {r.page_id} here" for r in got if r.page_id != 77) and len(got) == 16
+    assert [r.text for r in got if r.page_id == 77] == ["Title 77\nGet our letter\nOwn text 77 here"]
+
+
 def test_op10(spark):
     docs = spark.createDataFrame([(i, "red green blue red" if i % 2 else "one two three one") for i in range(40)] + [(90, None), (91, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in op10_lm_score.lm_scores(docs, docs.where("doc_id % 2 = 1 AND doc_id < 20")).collect()}
