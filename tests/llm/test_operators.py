@@ -249,6 +249,22 @@ def test_op7_tree_decides_inside_articles(spark):
     assert [r.text for r in got if r.page_id == 77] == ["Title 77\nGet our letter\nOwn text 77 here"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='no-sidebar has-comments'><p>Main text</p></div>", "Main text"),
+        ("<article class='post has-comments'><div class='post-header'><h1>Title</h1></div><p>Main text</p></article>", "Title\nMain text"),
+        ("<form><nav>menu</nav><p>All of the main text is in a form</p></form>", "All of the main text is in a form"),
+        ("<p>short words before it</p><div class=sidebar><nav>m</nav><article>Main text</article><p>x</p></div>", "Main text"),
+        ("<article><p>The main text of this page</p></article><aside><article>Another one</article></aside>", "The main text of this page"),
+        ("<article><p>The main text of this page</p><article class='comment'>I agree</article></article>", "The main text of this page"),
+        ("<p>The main text of this page</p><div hidden>Much longer text that is hidden from all readers of it</div>", "The main text of this page"),
+    ],
+)
+def test_op7_names(page, want):
+    assert "\n".join(op7_html.kept(page, set())) == want
+
+
 def test_op10(spark):
     docs = spark.createDataFrame([(i, "red green blue red" if i % 2 else "one two three one") for i in range(40)] + [(90, None), (91, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in op10_lm_score.lm_scores(docs, docs.where("doc_id % 2 = 1 AND doc_id < 20")).collect()}
