@@ -29,7 +29,7 @@ from .common import NO_ID, stage, table, text_rows
 from .op1_substring import Units, first_of_text, repeated_anchors, runs_of, with_runs
 from .textnp import anchors, arrow_text, bytes_hash, covered, signed, window_hash
 
-GRAM, WIDTH, HEAVY = 24, 100, 16_384
+GRAM, WIDTH, HEAVY, LARGE = 24, 100, 16_384, 10_000
 #: Bytes of text in one index.
 TEXT = 1_200_000
 
@@ -238,13 +238,16 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> Dat
     # dealt by (doc_id, h1), as the answers are, so texts shuffle once; h2 is compared but no key
     texts = rows.join(info, (F.col("doc_id") == F.col("d")) & (F.col("h1") == F.col("g")) & (F.col("h2").bitwiseXOR(F.col("other")) == 0), "left").drop("d", "g", "other")
     pieces = texts.where("found IS NOT NULL").select("doc_id", "h1", "text", "found").mapInArrow(lambda b: piece_rows(b, width), "anchor long, piece binary, doc_id long, h1 long, start long")
-    # at most 10000 rows; an anchor that is not among them has less than one row in 10000
-    large = found.groupBy("anchor").count().where(F.col("count") > heavy).orderBy(F.desc("count"), "anchor").limit(10_000).select("anchor", F.lit(True).alias("heavy"))
-    large = stage(large, "op4-large")
+    large = stage(found.groupBy("anchor").count().where(F.col("count") > heavy), "op4-large")
     if large.isEmpty():
         light, answers = pieces, []
     else:
-        marked = pieces.join(F.broadcast(large), "anchor", "left")
+        # at most LARGE rows; an anchor that is not among them has less than one row in LARGE, so the others are joined by shuffle
+        hot = large.orderBy(F.desc("count"), "anchor").limit(LARGE).select("anchor", F.lit(True).alias("heavy"))
+        marked = pieces.join(F.broadcast(hot), "anchor", "left")
+        if large.count() > LARGE:
+            others = large.select("anchor", F.lit(True).alias("other")).hint("merge")
+            marked = marked.join(others, "anchor", "left").withColumn("heavy", F.coalesce("heavy", "other")).drop("other")
         light, answers = marked.where("heavy IS NULL").drop("heavy"), [heavy_answers(marked.where("heavy").drop("heavy"), width)]
     light = light.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h1", "start")
     answers = [light.mapInArrow(lambda b: indexed(b, width), "doc_id long, h1 long, start long, again binary"), *answers]

@@ -77,6 +77,17 @@ def test_op4(docs, heavy):
     assert got == want
 
 
+def test_op4_every_heavy_anchor(docs, monkeypatch):
+    """Also those that the broadcast list has no room for."""
+    seen, real = [], op4_suffix.heavy_answers
+    monkeypatch.setattr(op4_suffix, "LARGE", 2)
+    monkeypatch.setattr(op4_suffix, "heavy_answers", lambda rows, width: (seen.append(rows.select("anchor").distinct().count()), real(rows, width))[1])
+    got = sorted(map(tuple, op4_suffix.suffix_dedup(docs, heavy=3).collect()))
+    assert seen and seen[0] > 2
+    monkeypatch.setattr(op4_suffix, "LARGE", 10_000)
+    assert got == sorted(map(tuple, op4_suffix.suffix_dedup(docs, heavy=3).collect())) and seen[0] == seen[1]
+
+
 def near_truth(percent=75):
     sets = {}
     for i, t in corpus():
