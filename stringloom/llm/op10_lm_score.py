@@ -1,11 +1,15 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models share one vocabulary, all words of all documents. The target model counts the documents labelled of quality
-1, the background model all documents. Counts are of the whole corpus and exact: each task adds up the pairs of neighbouring
-words of its texts, and Spark sums them by pair and by word. Nothing has a limit: the losses of all distinct pairs stay a table,
-which is joined to the distinct pairs of each document, so what is gathered grows with the input and the driver gets one row.
-Both models smooth alike, and the background's counts are scaled to the target's total, so they match in all but content.
-A document's score is the mean over its tokens of background loss less target loss, in nats: higher is more like the target.
+1, the background model all documents. Counts are of the whole corpus and exact; nothing has a limit, and what is gathered
+grows with the input. Both models smooth alike, and the background's counts are scaled to the target's total, so they match in
+all but content. A document's score is the mean over its tokens of background loss less target loss, in nats: higher is more
+like the target.
+
+Texts are dealt into chunks of some CHUNK bytes. A chunk sends its distinct words and pairs of neighbouring words with their
+counts to where equal ones meet, and gets back the sums of those that another chunk has too; of the others its own count is
+the sum. So a word or pair costs a row per chunk that has it, not one per document, and a chunk scores its documents from what
+it got back. The driver gets one row: the size of the vocabulary and of both models.
 
 Words and pairs go by 64-bit hashes. Losses are summed as integers of 1 / SCALE nats, so the order of sums does not matter.
 
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table
@@ -27,75 +31,97 @@ from .textnp import BASE, U, arrow_text, mix, signed, slices, spans_hash, word_b
 
 BLOOM = 26
 START, MIX, SCALE = U(0), 0.6, 1_000_000_000
-#: Tokens whose pairs a task adds up before it sends them.
-HELD = 1 << 21
+#: Bytes of text in a chunk, unless a single text is longer.
+CHUNK = 12_000_000
 
 
 def bigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pair that each word ends, the word before it (START at the head of a row), the word, and rows."""
-    starts, ends, row = word_bounds(buf, off)
-    words = spans_hash(buf, starts, ends)
-    before = np.append(START, words[:-1])[: len(words)]
-    before[np.append(True, row[1:] != row[:-1])[: len(row)]] = START
-    return mix(before * BASE + words), before, words, row
-
-
-def heads(*sorted_keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    new = np.ones(len(sorted_keys[0]), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
-    return np.flatnonzero(new)
+    pairs, befores, words, rows = [], [], [], []
+    for i, j in slices(off):
+        starts, ends, row = word_bounds(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        word = spans_hash(buf[off[i] : off[j]], starts, ends)
+        before = np.append(START, word[:-1])[: len(word)]
+        before[np.append(True, row[1:] != row[:-1])[: len(row)]] = START
+        pairs.append(mix(before * BASE + word))
+        befores.append(before)
+        words.append(word)
+        rows.append(row + i)
+    if not rows:
+        return (np.zeros(0, U),) * 3 + (np.zeros(0, np.int64),)
+    return np.concatenate(pairs), np.concatenate(befores), np.concatenate(words), np.concatenate(rows)
+
+
+def dealt(texts: DataFrame) -> DataFrame:
+    """(chunk, doc_id, text, target): texts with the number of their chunk. Written, since the numbers are not the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = 0, 0
+        for batch in batches:
+            _, off = arrow_text(batch.column("text"))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK - size, "right")) - 1)
+                part = batch.slice(i, j - i)
+                size += int(off[min(j, batch.num_rows)] - off[i])
+                yield pa.RecordBatch.from_arrays([pa.array((part.column("task").to_numpy().astype(np.int64) << 40) + number), part.column("doc_id"), part.column("text"), part.column("target")], ["chunk", "doc_id", "text", "target"])
+                if size >= CHUNK or j < batch.num_rows:
+                    number, size = number + 1, 0
+                i = j
+
+    return texts.withColumn("task", F.spark_partition_id()).mapInArrow(run, "chunk long, doc_id long, text string, target boolean")
+
+
+def counted(pair: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of pairs and of the words before, ascending, with their counts in all texts and in the target's."""
+    keys = np.concatenate([pair, before])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if not len(first):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))), np.add.reduceat(np.append(own, own)[order].astype(np.int64), first)
+
+
+def flags(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return batch.column("target").to_numpy(zero_copy_only=False).astype(bool) if isinstance(batch, pa.RecordBatch) else batch.column("target").to_numpy().astype(bool)
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(before, word, background, target): pairs of (text, target), added up over some HELD tokens."""
-
-    def added(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        pair, before, words, own = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(pair)
-        first = heads(pair[order])
-        at = order[first]
-        n = np.diff(np.append(first, len(order)))
-        columns = [signed(before[at]), signed(words[at]), n, np.add.reduceat(own[order].astype(np.int64), first)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["before", "word", "background", "target"])
-
-    held, n = [], 0
-    for batch in batches:
-        buf, off = arrow_text(batch.column("text"))
-        wanted = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j in slices(off):
-            pair, before, words, row = bigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            if not len(pair):
-                continue
-            held.append((pair, before, words, wanted[i:j][row]))
-            n += len(pair)
-            if n >= HELD:
-                yield added(held)
-                held, n = [], 0
-    if held:
-        yield added(held)
+    """(key, chunk, counts, word): of each chunk its distinct pairs and words; counts has those of all texts times 2**32 plus
+    the target's. A word that ends texts only, and so is before none, has a row of no counts: it is in the vocabulary."""
+    held: list[tuple[np.ndarray, ...]] = []
+    chunk, n = None, 0
+
+    def answer() -> pa.RecordBatch:
+        pair, before, word, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        words = np.unique(np.concatenate([before, word]))
+        key, every, target = counted(pair, before, own)
+        last = words[~np.isin(words, key)]
+        key, value = np.append(key, last), np.append((every << 32) + target, np.zeros(len(last), np.int64))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(len(key), chunk)), pa.array(value), pa.array(np.isin(key, words))], ["key", "chunk", "counts", "word"])
 
-
-def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(before, word, row, n, doc_id): the distinct pairs of each row; and a pair of no tokens and its own that has the doc_id."""
     for batch in batches:
+        numbers = batch.column("chunk").to_numpy()
         buf, off = arrow_text(batch.column("text"))
-        ids = batch.column("row").to_numpy()
-        names = ["before", "word", "row", "n", "doc_id"]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids.astype(U)))), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids), pa.array(np.zeros(len(ids), np.int32)), batch.column("doc_id")], names)
-        for i, j in slices(off):
-            pair, before, words, row = bigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            if not len(pair):
-                continue
-            order = np.lexsort((pair, row))
-            first = heads(pair[order], row[order])
-            n = np.diff(np.append(first, len(pair))).astype(np.int32)
-            at = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(before[at])), pa.array(signed(words[at])), pa.array(ids[i:j][row[at]]), pa.array(n), pa.nulls(len(first), pa.int64())], names)
+        own = flags(batch)
+        ends = np.flatnonzero(np.append(numbers[1:] != numbers[:-1], True)[: len(numbers)]) + 1
+        for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
+            if held and (numbers[i] != chunk or n >= CHUNK):
+                yield answer()
+                n = 0
+            chunk = numbers[i]
+            pair, before, word, row = bigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            if len(pair):
+                held.append((pair, before, word, own[i:j][row]))
+                n += int(off[j] - off[i])
+    if held:
+        yield answer()
 
 
 def marked(texts: DataFrame, target: DataFrame) -> DataFrame:
-    """(text, target) of every row of texts. Rows whose id is not in a Bloom filter of the target's ids don't shuffle.
+    """(doc_id, text, target) of every row of texts. Rows whose id is not in a Bloom filter of the target's ids don't shuffle.
 
     The filter has 2**BLOOM bits whatever the input; beyond its capacity more rows shuffle and the result stays the same.
     """
@@ -104,49 +130,78 @@ def marked(texts: DataFrame, target: DataFrame) -> DataFrame:
     words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
     flagged = texts.withColumn("slot", slot).join(F.broadcast(words), F.shiftright("slot", 6) == F.col("word"), "left")  # at most 2**(BLOOM - 6) rows
     hit = "doc_id IS NOT NULL AND coalesce(bits & shiftleft(1L, cast(slot & 63 AS int)), 0L) != 0"
-    sure = flagged.where(f"NOT ({hit})").select("text", F.lit(False).alias("target"))
+    sure = flagged.where(f"NOT ({hit})").select("doc_id", "text", F.lit(False).alias("target"))
     rest = flagged.where(hit).select("doc_id", "text").join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
-    return sure.unionByName(rest.select("text", F.coalesce("target", F.lit(False)).alias("target")))
-
-
-def pair_key() -> Column:
-    return F.xxhash64("before", "word").alias("pair")
-
-
-def pair_losses(counts: DataFrame) -> DataFrame:
-    """(pair, target_loss, background_loss) of all pairs, in 1 / SCALE nats."""
-    ends = counts.select(F.col("word"), F.lit(0).cast("long").alias("background"), F.lit(0).cast("long").alias("target"))
-    words = counts.select(F.col("before").alias("word"), "background", "target").unionByName(ends)
-    words = stage(words.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "op10-words")
-    total = words.agg(F.count(F.lit(1)), F.sum("background"), F.sum("target")).first()
-    n, background, target = (int(x or 0) for x in total)
-    same = not target  # both models are the background's
-    size = {"background": float(target or background), "target": float(target or background)}
-    scale = {"background": 1.0 if same else target / max(background, 1), "target": 1.0}
+    return sure.unionByName(rest.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
 
-    def loss(model: str):
-        of = "background" if same else model
-        count, before, word = (F.col(f"{t}.{of}") * F.lit(scale[model]) for t in ("c", "b", "w"))
-        p = F.lit(MIX) * count / F.greatest(before, F.lit(1e-9)) + F.lit(1 - MIX) * (word + F.lit(0.5)) / F.lit(size[model] + 0.5 * n)
-        return F.round(-F.ln(F.least(p, F.lit(1.0))) * F.lit(float(SCALE))).cast("long").alias(f"{model}_loss")
 
-    both = counts.alias("c").join(words.alias("b").hint("merge"), F.col("c.before") == F.col("b.word")).join(words.alias("w").hint("merge"), F.col("c.word") == F.col("w.word"))
-    losses = both.select("c.before", "c.word", loss("target"), loss("background")).select(pair_key(), "target_loss", "background_loss")
-    return losses.groupBy("pair").agg(F.min("target_loss").alias("target_loss"), F.min("background_loss").alias("background_loss"))
+def summed(counts: DataFrame) -> DataFrame:
+    """(key, chunk, background, target, first): the sums of each key for every chunk that shares it with another one, and for
+    each word once, in its row `first`."""
+    meet, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("chunk")
+    n = counts.withColumns({
+        "background": F.sum(F.shiftright("counts", 32)).over(meet),
+        "target": F.sum(F.col("counts").bitwiseAND((1 << 32) - 1)).over(meet),
+        "low": F.min("chunk").over(meet),
+        "high": F.max("chunk").over(meet),
+        "first": F.col("word") & (F.row_number().over(order) == 1),
+    })
+    return n.where("low < high OR first").select("key", "chunk", "background", "target", "first")
 
 
 def lm_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row; target has the doc_ids of the target."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = marked(texts, target).mapInArrow(count_rows, "before long, word long, background long, target long")
-    counts = stage(counts.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "op10-counts")
-
-    rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(document_rows, "before long, word long, row long, n int, doc_id long").select(pair_key(), "row", "n", "doc_id")
-    found = rows.join(pair_losses(counts).hint("merge"), "pair", "left")
-    sums = (F.sum(F.col("n") * F.coalesce(f"{m}_loss", F.lit(0).cast("long"))).alias(m) for m in ("target", "background"))
-    scored = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *sums)
-    mean = lambda c: F.col(c) / F.greatest("n_tokens", F.lit(1)) / F.lit(float(SCALE))
-    return scored.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"), ((F.col("background") - F.col("target")) / F.greatest("n_tokens", F.lit(1)) / F.lit(float(SCALE))).alias("score"))
+    chunks = stage(dealt(marked(texts, target)), "op10-chunks")
+    counts = stage(summed(chunks.select("chunk", "text", "target").mapInArrow(count_rows, "key long, chunk long, counts long, word boolean")), "op10-counts")
+    total = counts.where("first").agg(F.count(F.lit(1)), F.sum("background"), F.sum("target")).first()
+    n, every, wanted = (int(x or 0) for x in total)
+    same = not wanted  # both models are the background's
+    size = float(wanted or every)
+    scale = 1.0 if same else wanted / max(every, 1)
+
+    def losses(pair: np.ndarray, before: np.ndarray, word: np.ndarray, factor: float) -> np.ndarray:
+        p = MIX * (pair * factor) / np.maximum(before * factor, 1e-9) + (1 - MIX) * (word * factor + 0.5) / (size + 0.5 * n)
+        return np.round(-np.log(np.minimum(p, 1.0)) * SCALE).astype(np.int64)
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        ids = own.column("doc_id").combine_chunks()
+        buf, off = arrow_text(own.column("text"))
+        pair, before, word, row = bigrams(buf, off)
+        key, every_, target_ = counted(pair, before, flags(own)[row])
+        if len(key) and told.num_rows:
+            known = told.column("key").to_numpy().view(U)
+            at = np.searchsorted(key, known)
+            here = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == known)
+            every_[at[here]], target_[at[here]] = told.column("background").to_numpy()[here], told.column("target").to_numpy()[here]
+            # a word that ends texts only is no key here, but has sums where another chunk goes on after it
+            more = np.argsort(known[~here], kind="stable")
+            key, order = np.append(key, known[~here][more]), None
+            every_, target_ = np.append(every_, told.column("background").to_numpy()[~here][more]), np.append(target_, told.column("target").to_numpy()[~here][more])
+            order = np.argsort(key, kind="stable")
+            key, every_, target_ = key[order], every_[order], target_[order]
+        tokens = np.bincount(row, minlength=len(ids))
+        sums = []
+        distinct, first, back = np.unique(pair, return_index=True, return_inverse=True)
+        for value, factor in ((target_, 1.0), (every_, scale)):
+            value = every_ if same else value
+
+            def of(x: np.ndarray) -> np.ndarray:
+                if not len(key):
+                    return np.zeros(len(x), np.int64)
+                at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+                return np.where(key[at] == x, value[at], 0)
+
+            loss = losses(of(distinct), of(before[first]), of(word[first]), factor)[back] if len(distinct) else np.zeros(0, np.int64)
+            upto = np.append(0, np.cumsum(loss))
+            ends = np.cumsum(tokens)
+            sums.append(upto[ends] - upto[ends - tokens])
+        per = np.maximum(tokens, 1) * float(SCALE)
+        columns = [ids, pa.array(tokens), pa.array(sums[0] / per), pa.array(sums[1] / per), pa.array((sums[1] - sums[0]) / per)]
+        return pa.table(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    told = counts.select("chunk", "key", "background", "target")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

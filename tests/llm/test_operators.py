@@ -288,12 +288,14 @@ def test_op10_marks_target(spark, monkeypatch):
     target = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     for bits in (6, 26):  # a full filter gives the same rows
         monkeypatch.setattr(op10_lm_score, "BLOOM", bits)
-        got = sorted(tuple(r) for r in op10_lm_score.marked(docs, target).collect())
+        got = sorted((r.text, r.target) for r in op10_lm_score.marked(docs, target).collect())
         assert got == sorted((t, i is not None and i in ids) for i, t in ((r.doc_id, r.text) for r in docs.collect()))
 
 
-def test_op10_counts_exactly(spark):
-    """More words than any fixed vocabulary: every word and pair counts as itself."""
+@pytest.mark.parametrize("chunk", [12_000_000, 20_000])
+def test_op10_counts_exactly(spark, monkeypatch, chunk):
+    """More words than any fixed vocabulary, in few chunks and in many: every word and pair counts as itself."""
+    monkeypatch.setattr(op10_lm_score, "CHUNK", chunk)
     import math
     from collections import Counter
 
