@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = (1 << 63) - 1
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared folder and reads it back, so that a lost executor costs no earlier work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stringloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    clean = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")  # what the write shuffled is of no use after it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, clean)
     return spark.read.schema(df.schema).parquet(path)
 
 

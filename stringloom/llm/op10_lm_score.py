@@ -6,10 +6,11 @@ grows with the input. Both models smooth alike, and the background's counts are
 all but content. A document's score is the mean over its tokens of background loss less target loss, in nats: higher is more
 like the target.
 
-Texts are dealt into chunks of some CHUNK bytes. A chunk sends its distinct words and pairs of neighbouring words with their
-counts to where equal ones meet, and gets back the sums of those that another chunk has too; of the others its own count is
-the sum. So a word or pair costs a row per chunk that has it, not one per document, and a chunk scores its documents from what
-it got back. The driver gets one row: the size of the vocabulary and of both models.
+Texts are dealt into chunks of some CHUNK bytes, each one row. A chunk sends the hashes of its distinct words and pairs of
+neighbouring words with their counts, cut into buckets by hash; in each bucket the counts of all chunks are added up, and each
+chunk gets back the sums in the order in which it sent its hashes. So a word or pair costs some nine bytes per chunk that has
+it, not a row per document, and a chunk scores its documents from what it got back. The number of buckets grows with the
+input. The driver gets one row: the size of the vocabulary and of both models.
 
 Words and pairs go by 64-bit hashes. Losses are summed as integers of 1 / SCALE nats, so the order of sums does not matter.
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
@@ -31,8 +32,8 @@ from .textnp import BASE, U, arrow_text, mix, signed, slices, spans_hash, word_b
 
 BLOOM = 26
 START, MIX, SCALE = U(0), 0.6, 1_000_000_000
-#: Bytes of text in a chunk, unless a single text is longer.
-CHUNK = 12_000_000
+#: Bytes of text in a chunk, unless a single text is longer, and for each bucket.
+CHUNK = 8_000_000
 
 
 def bigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,71 +54,104 @@ def bigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def dealt(texts: DataFrame) -> DataFrame:
-    """(chunk, doc_id, text, target): texts with the number of their chunk. Written, since the numbers are not the same again."""
+    """(chunk, size, rows): texts by chunks, as compressed Arrow data. Written, since the numbers would not be the same again."""
+    most = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = 0, 0
+        number, size, held = 0, 0, []
+
+        def close() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            whole = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole)
+            chunk = (held[0].column("task")[0].as_py() << 32) + number
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "size", "rows"])
+
         for batch in batches:
             _, off = arrow_text(batch.column("text"))
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK - size, "right")) - 1)
-                part = batch.slice(i, j - i)
-                size += int(off[min(j, batch.num_rows)] - off[i])
-                yield pa.RecordBatch.from_arrays([pa.array((part.column("task").to_numpy().astype(np.int64) << 40) + number), part.column("doc_id"), part.column("text"), part.column("target")], ["chunk", "doc_id", "text", "target"])
-                if size >= CHUNK or j < batch.num_rows:
-                    number, size = number + 1, 0
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(off, off[i] + most - size, "right")) - 1))
+                held.append(batch.slice(i, j - i))
+                size += int(off[j] - off[i])
+                if size >= most or j < batch.num_rows:
+                    yield close()
+                    number, size, held = number + 1, 0, []
                 i = j
+        if held:
+            yield close()
+
+    return texts.withColumn("task", F.spark_partition_id().cast("long")).mapInArrow(run, "chunk long, size long, rows binary")
 
-    return texts.withColumn("task", F.spark_partition_id()).mapInArrow(run, "chunk long, doc_id long, text string, target boolean")
 
+def opened(raw: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The doc_ids of a chunk, and of its tokens: pair, word before, word, row. Tokens of the target have a row below 0, less 1."""
+    rows = pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks()
+    buf, off = arrow_text(rows.column("text"))
+    own = rows.column("target").to_numpy().astype(bool)
+    pair, before, word, row = bigrams(buf, off)
+    return rows.column("doc_id").combine_chunks(), pair, before, word, np.where(own[row], -1 - row, row)
 
-def counted(pair: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of pairs and of the words before, ascending, with their counts in all texts and in the target's."""
-    keys = np.concatenate([pair, before])
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    if not len(first):
-        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys))), np.add.reduceat(np.append(own, own)[order].astype(np.int64), first)
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, where each begins in sorted order, and that order."""
+    order = np.argsort(keys, kind="stable")
+    found = keys[order]
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+    return found[first], first, order
 
-def flags(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    return batch.column("target").to_numpy(zero_copy_only=False).astype(bool) if isinstance(batch, pa.RecordBatch) else batch.column("target").to_numpy().astype(bool)
 
+def sums(values: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values[order], first) if len(first) else np.zeros(0, np.int64)
 
-def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, chunk, counts, word): of each chunk its distinct pairs and words; counts has those of all texts times 2**32 plus
-    the target's. A word that ends texts only, and so is before none, has a row of no counts: it is in the vocabulary."""
-    held: list[tuple[np.ndarray, ...]] = []
-    chunk, n = None, 0
 
-    def answer() -> pa.RecordBatch:
-        pair, before, word, own = (np.concatenate(x) for x in zip(*held, strict=True))
-        words = np.unique(np.concatenate([before, word]))
-        key, every, target = counted(pair, before, own)
-        last = words[~np.isin(words, key)]
-        key, value = np.append(key, last), np.append((every << 32) + target, np.zeros(len(last), np.int64))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(len(key), chunk)), pa.array(value), pa.array(np.isin(key, words))], ["key", "chunk", "counts", "word"])
+def vocabulary(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As distinct(), of the words of a chunk; and which of the two copies of each token's words is one before another."""
+    return *distinct(np.concatenate([before, word])), np.append(np.ones(len(before), np.int64), np.zeros(len(word), np.int64))
 
+
+def sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, chunk, word, keys, background, target): packed hashes of a chunk's pairs or words, and their counts."""
+    names = ["bucket", "chunk", "word", "keys", "background", "target"]
     for batch in batches:
-        numbers = batch.column("chunk").to_numpy()
-        buf, off = arrow_text(batch.column("text"))
-        own = flags(batch)
-        ends = np.flatnonzero(np.append(numbers[1:] != numbers[:-1], True)[: len(numbers)]) + 1
-        for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
-            if held and (numbers[i] != chunk or n >= CHUNK):
-                yield answer()
-                n = 0
-            chunk = numbers[i]
-            pair, before, word, row = bigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            if len(pair):
-                held.append((pair, before, word, own[i:j][row]))
-                n += int(off[j] - off[i])
-    if held:
-        yield answer()
+        for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("rows"), strict=True):
+            _, pair, before, word, row = opened(raw)
+            wanted = (row < 0).astype(np.int64)
+            keys, first, order = distinct(pair)
+            kinds = [(False, keys, np.diff(np.append(first, len(pair))), sums(wanted, first, order))]
+            keys, first, order, ahead = vocabulary(before, word)
+            kinds.append((True, keys, sums(ahead, first, order), sums(ahead * np.append(wanted, wanted), first, order)))
+            for is_word, keys, every, target in kinds:
+                bucket = ((keys >> U(32)) * U(buckets)) >> U(32)
+                at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+                cuts = list(zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True)) if len(at) else []
+                columns = [[x[a:b].tobytes() for a, b in cuts] for x in (keys, every.astype(np.int32), target.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(bucket[at])), pa.array(np.full(len(at), chunk)), pa.array(np.full(len(at), is_word)), *(pa.array(x, pa.binary()) for x in columns)], names)
+
+
+def added(t: pa.Table) -> pa.Table:
+    """(chunk, word, bucket, background, target, size, n, every, wanted) of a bucket: each chunk's sums, as numbers of `size`
+    bytes, and a row of the totals."""
+    out: list[tuple] = []
+    is_word, chunks, bucket = t.column("word").to_numpy(), t.column("chunk").to_numpy(), t.column("bucket")[0].as_py()
+    for kind in (False, True):
+        part = t.filter(pa.array(is_word == kind))
+        columns = [part.column(c).to_pylist() for c in ("keys", "background", "target")]
+        keys, first, order = distinct(np.frombuffer(b"".join(columns[0]), U))
+        ends = np.cumsum([len(x) // 8 for x in columns[0]]).astype(np.int64)
+        group = np.zeros(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        totals = [sums(np.frombuffer(b"".join(x), np.int32).astype(np.int64), first, order) for x in columns[1:]]
+        small = all(x.max(initial=0) < 1 << 31 for x in totals)
+        told = [x.astype(np.int32 if small else np.int64)[group] for x in totals]
+        begin = np.append(0, ends[:-1])
+        out += [(c, kind, bucket, told[0][a:b].tobytes(), told[1][a:b].tobytes(), 4 if small else 8, None, None, None) for c, a, b in zip(chunks[is_word == kind].tolist(), begin.tolist(), ends.tolist(), strict=False)]
+        if kind:
+            out.append((None, None, None, None, None, None, len(keys), int(totals[0].sum()), int(totals[1].sum())))
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["chunk", "word", "bucket", "background", "target", "size", "n", "every", "wanted"]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def marked(texts: DataFrame, target: DataFrame) -> DataFrame:
@@ -135,26 +169,14 @@ def marked(texts: DataFrame, target: DataFrame) -> DataFrame:
     return sure.unionByName(rest.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
 
 
-def summed(counts: DataFrame) -> DataFrame:
-    """(key, chunk, background, target, first): the sums of each key for every chunk that shares it with another one, and for
-    each word once, in its row `first`."""
-    meet, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("chunk")
-    n = counts.withColumns({
-        "background": F.sum(F.shiftright("counts", 32)).over(meet),
-        "target": F.sum(F.col("counts").bitwiseAND((1 << 32) - 1)).over(meet),
-        "low": F.min("chunk").over(meet),
-        "high": F.max("chunk").over(meet),
-        "first": F.col("word") & (F.row_number().over(order) == 1),
-    })
-    return n.where("low < high OR first").select("key", "chunk", "background", "target", "first")
-
-
 def lm_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row; target has the doc_ids of the target."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = stage(dealt(marked(texts, target)), "op10-chunks")
-    counts = stage(summed(chunks.select("chunk", "text", "target").mapInArrow(count_rows, "key long, chunk long, counts long, word boolean")), "op10-counts")
-    total = counts.where("first").agg(F.count(F.lit(1)), F.sum("background"), F.sum("target")).first()
+    buckets = max(1, -(-int(chunks.agg(F.sum("size")).first()[0] or 0) // CHUNK))
+    packed = chunks.select("chunk", "rows").mapInArrow(lambda b: sent(b, buckets), "bucket long, chunk long, word boolean, keys binary, background binary, target binary")
+    told = stage(packed.groupBy("bucket").applyInArrow(added, "chunk long, word boolean, bucket long, background binary, target binary, size int, n long, every long, wanted long"), "op10-counts")
+    total = told.where("chunk IS NULL").agg(F.sum("n"), F.sum("every"), F.sum("wanted")).first()
     n, every, wanted = (int(x or 0) for x in total)
     same = not wanted  # both models are the background's
     size = float(wanted or every)
@@ -164,44 +186,34 @@ def lm_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
         p = MIX * (pair * factor) / np.maximum(before * factor, 1e-9) + (1 - MIX) * (word * factor + 0.5) / (size + 0.5 * n)
         return np.round(-np.log(np.minimum(p, 1.0)) * SCALE).astype(np.int64)
 
-    def score(own: pa.Table, told: pa.Table) -> pa.Table:
-        ids = own.column("doc_id").combine_chunks()
-        buf, off = arrow_text(own.column("text"))
-        pair, before, word, row = bigrams(buf, off)
-        key, every_, target_ = counted(pair, before, flags(own)[row])
-        if len(key) and told.num_rows:
-            known = told.column("key").to_numpy().view(U)
-            at = np.searchsorted(key, known)
-            here = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == known)
-            every_[at[here]], target_[at[here]] = told.column("background").to_numpy()[here], told.column("target").to_numpy()[here]
-            # a word that ends texts only is no key here, but has sums where another chunk goes on after it
-            more = np.argsort(known[~here], kind="stable")
-            key, order = np.append(key, known[~here][more]), None
-            every_, target_ = np.append(every_, told.column("background").to_numpy()[~here][more]), np.append(target_, told.column("target").to_numpy()[~here][more])
-            order = np.argsort(key, kind="stable")
-            key, every_, target_ = key[order], every_[order], target_[order]
-        tokens = np.bincount(row, minlength=len(ids))
-        sums = []
-        distinct, first, back = np.unique(pair, return_index=True, return_inverse=True)
-        for value, factor in ((target_, 1.0), (every_, scale)):
-            value = every_ if same else value
-
-            def of(x: np.ndarray) -> np.ndarray:
-                if not len(key):
-                    return np.zeros(len(x), np.int64)
-                at = np.minimum(np.searchsorted(key, x), len(key) - 1)
-                return np.where(key[at] == x, value[at], 0)
-
-            loss = losses(of(distinct), of(before[first]), of(word[first]), factor)[back] if len(distinct) else np.zeros(0, np.int64)
-            upto = np.append(0, np.cumsum(loss))
-            ends = np.cumsum(tokens)
-            sums.append(upto[ends] - upto[ends - tokens])
-        per = np.maximum(tokens, 1) * float(SCALE)
-        columns = [ids, pa.array(tokens), pa.array(sums[0] / per), pa.array(sums[1] / per), pa.array((sums[1] - sums[0]) / per)]
+    def score(own: pa.Table, back: pa.Table) -> pa.Table:
+        ids, pair, before, word, row = opened(own.column("rows")[0])
+        tokens = np.bincount(np.where(row < 0, -1 - row, row), minlength=len(ids))
+        per, total = np.maximum(tokens, 1) * float(SCALE), []
+        if len(pair):
+            back = back.sort_by([("word", "ascending"), ("bucket", "ascending")])
+            is_word = back.column("word").to_numpy()
+            pairs, first, order = distinct(pair)
+            words, _, _, _ = vocabulary(before, word)
+            of_pair = np.empty(len(pair), np.int64)
+            of_pair[order] = np.repeat(np.arange(len(pairs)), np.diff(np.append(first, len(pair))))
+            at = order[first]
+            left, right = np.searchsorted(words, before[at]), np.searchsorted(words, word[at])
+            for model, factor in (("target", 1.0), ("background", scale)):
+                parts = [[], []]
+                for kind, raw, other in zip(is_word, back.column("background" if same else model).to_pylist(), back.column("size").to_pylist(), strict=True):
+                    parts[int(kind)].append(np.frombuffer(raw, np.int32 if other == 4 else np.int64))
+                n_pair, n_word = (np.concatenate(x).astype(np.int64) for x in parts)
+                loss = losses(n_pair, n_word[left], n_word[right], factor)[of_pair]
+                upto, ends = np.append(0, np.cumsum(loss)), np.cumsum(tokens)
+                total.append(upto[ends] - upto[ends - tokens])
+        else:
+            total = [np.zeros(len(ids), np.int64)] * 2
+        columns = [ids, pa.array(tokens), pa.array(total[0] / per), pa.array(total[1] / per), pa.array((total[1] - total[0]) / per)]
         return pa.table(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    told = counts.select("chunk", "key", "background", "target")
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    answers = told.where("chunk IS NOT NULL").select("chunk", "word", "bucket", "background", "target", "size")
+    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
