@@ -1,33 +1,40 @@
-"""Embedding near-dedup by a cover tree and its dual traversal.
+"""Embedding near-dedup by cover trees and their dual traversal.
 
-Per label the unit vectors form a tree of nested levels. A node with over LEAF vectors is split: from a bounded sample,
-centers are taken farthest first until all of it lies within half the node's radius, or FAN centers are taken; each vector
-goes to the nearest. The radius that covers a node's vectors is measured, so the bounds hold whatever the sample. The dual
-traversal starts with each root against itself and expands pairs of nodes level by level; a pair whose centers are farther
-apart than both radii and the threshold distance cannot hold a link and is pruned. Pairs of leaves that remain are compared
-in one matrix product each, after dropping vectors too far from the other leaf.
+Per label the unit vectors form a tree. What fits one task, LEAF vectors, is a cover tree (covertree.py): levels nest, a node's
+point is its first child's, covering radii halve from level to level, children are farther apart than that. A label with more
+vectors is first dealt from the top: a node's centers are its own and, from a bounded sample, others farthest first, until all
+of the sample lies within half of the node's radius or there are FAN; each vector goes to the nearest. There radii are those
+measured, which may be more than half. The dual traversal starts with each root against itself and expands pairs of nodes level
+by level, in Spark down to the cover trees, then within each pair of those; a pair whose centers are farther apart than both
+radii and the threshold distance cannot hold a link and is pruned. Only what leaves hold that remain is compared.
 
-Equal vectors of a label are one vector with a count. Links are not emitted: a pair of leaves gives each vector's number of
+In data without near neighbours every vector is a child of its root, and the pairs of those are what is tested: then the work
+is quadratic per label, in blocks, as no bound can prune more. It falls with the share of vectors that lie in clusters.
+
+Equal vectors of a label are one point with a count. Links are not emitted: a pair of trees gives each vector's number of
 links and a spanning forest of the links, so a group of very many near copies yields rows in proportion to its size.
 
 Defined results: a null label, or a vector that is null, zero, or holds a null or a non-finite number, links with nothing.
-Vectors of different length never link. Rows that repeat a vec_id are each other's copies like any. A null vec_id is
-compared like others and takes part under the largest number.
+Vectors of different length never link. Each row is a vector of its own, also where a vec_id is null or repeats: links of one
+say nothing of the other. component_id is the smallest id of the component that is not null, so it is null where all are null;
+kept is whether it is the row's own vec_id, or both are null.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stage, table
+from .common import stage, table
 from .components import components
+from .covertree import Links, Tree, traverse
 
-LEAF, FAN, SAMPLE, DEPTH = 2048, 16, 512, 12
+LEAF, FAN, SAMPLE, DEPTH = 4096, 16, 512, 12
 
 
 def distance(cosine: float) -> float:
@@ -44,28 +51,33 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def usable() -> Column:
+    e = F.col("embedding")
+    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    return F.col("label").isNotNull() & fine
+
+
 def vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, size, v): usable vectors as bytes of doubles."""
+    """(vec_id, label, size, v): vectors as bytes of doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.array(x, np.float64) + 0.0 for x in batch.column("embedding").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array([len(x) for x in out], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], ["vec_id", "label", "size", "v"])
 
-    e = F.col("embedding")
-    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return rows.where("label IS NOT NULL").where(F.coalesce(fine, F.lit(False))).mapInArrow(run, "vec_id long, label string, size int, v binary")
+    return rows.mapInArrow(run, "vec_id long, label string, size int, v binary")
 
 
 def split(t: pa.Table) -> pa.Table:
-    """Centers for one node from its sample: farthest first, to half the sample's radius."""
-    x = unit(rows_of(t.column("v")))
+    """Centers for one node from its sample: its own, then farthest first, to half the sample's radius."""
+    x = np.concatenate([rows_of(t.column("center").slice(0, 1)), rows_of(t.column("v"))])
+    x = unit(x)
     near = np.sqrt(((x - x[0]) ** 2).sum(1))
     half, picked = near.max() / 2, [0]
-    while len(picked) < FAN and near.max() > half or len(picked) == 1 and near.max() > 0:
+    while len(picked) < FAN and near.max() > half:
         picked.append(int(near.argmax()))
         near = np.minimum(near, np.sqrt(((x - x[picked[-1]]) ** 2).sum(1)))
-    return pa.table({"root": t.column("root")[:1], "node": t.column("node")[:1], "centers": pa.array([x[picked].tobytes()], pa.binary())})
+    return pa.table({"root": t.column("root").slice(0, 1), "node": t.column("node").slice(0, 1), "centers": pa.array([x[picked].tobytes()], pa.binary())})
 
 
 def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,66 +97,56 @@ def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = d.argmin(1)
             child[own], far[own] = best, d[np.arange(len(own)), best]
             at[own] = [y[b].tobytes() for b in best]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("root"), batch.column("size"), batch.column("v"), batch.column("copies"), pa.array(nodes * FAN + child), batch.column("node"), pa.array(far), pa.array(list(at), pa.binary())], ["vec_id", "root", "size", "v", "copies", "node", "up", "far", "center"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), batch.column("size"), batch.column("v"), batch.column("copies"), pa.array(nodes * FAN + child), batch.column("node"), pa.array(far), pa.array(list(at), pa.binary())], ["id", "root", "size", "v", "copies", "node", "up", "far", "center"])
+
+
+def planted(t: pa.Table, cosine: float) -> pa.Table:
+    """(root, node, block, tree): a block's vectors as a cover tree."""
+    raw = rows_of(t.column("v"))
+    tree = Tree(unit(raw), distance(cosine) / 4)
+    x, tree.x = raw, None
+    packed = pickle.dumps((t.column("id").to_numpy(), t.column("copies").to_numpy(), x, tree), protocol=5)
+    return pa.table({"root": t.column("root").slice(0, 1), "node": t.column("node").slice(0, 1), "block": t.column("block").slice(0, 1), "tree": pa.array([packed], pa.binary())})
 
 
 def compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """(vec_id, links, other): per pair of leaves each vector's number of links, and edges of a forest of the links (links 0)."""
-    reach = distance(cosine) + 1e-9
+    """(id, links, other, compared, pairs): per pair of trees each vector's number of links, and edges of a forest of the links;
+    and one row, without id, of how many pairs of vectors were compared, and of all of them."""
+    names = ["id", "links", "other", "compared", "pairs"]
     for batch in batches:
         for k in range(batch.num_rows):
-            same = batch.column("same")[k].as_py()
             side = []
             for s in "ab":
-                ids = np.array(batch.column(f"ids_{s}")[k].as_py(), np.int64)
-                raw = np.frombuffer(b"".join(batch.column(f"vs_{s}")[k].as_py()), np.float64).reshape(len(ids), -1)
-                side.append((ids, np.array(batch.column(f"copies_{s}")[k].as_py(), np.int64), raw, unit(raw)))
-            if not same:
-                for s, o in ((0, "b"), (1, "a")):
-                    c = np.frombuffer(batch.column(f"center_{o}")[k].as_py(), np.float64)
-                    close = np.sqrt(((side[s][3] - c) ** 2).sum(1)) <= batch.column(f"radius_{o}")[k].as_py() + reach
-                    side[s] = tuple(x[close] for x in side[s])
-            (ia, wa, ra, xa), (ib, wb, rb, xb) = side
-            if not len(ia) or not len(ib):
-                continue
-            got = xa @ xb.T
-            link = got >= cosine
-            for i, j in zip(*np.nonzero(np.abs(got - cosine) < 1e-9), strict=True):
-                link[i, j] = ra[i] @ rb[j] / (np.sqrt(ra[i] @ ra[i]) * np.sqrt(rb[j] @ rb[j])) >= cosine
-            if same:
-                np.fill_diagonal(link, False)
-            one = link @ wb
-            two = np.zeros(len(ib), np.int64) if same else link.T @ wa
-            label = np.concatenate([ia, ib])  # labels spread until each end of a link has the least
-            na = len(ia)
-            rows, cols = np.flatnonzero(one), np.flatnonzero(link.any(0))
-            part = link[np.ix_(rows, cols)]
-            while len(rows):
-                la, lb = label[rows], label[na + cols]
-                na_ = np.minimum(la, np.where(part, lb[None, :], NO_ID).min(1))
-                nb_ = np.minimum(lb, np.where(part, na_[:, None], NO_ID).min(0))
-                if same:
-                    least = dict(zip(ib[cols].tolist(), nb_.tolist(), strict=True))
-                    na_ = np.array([min(x, least.get(i, NO_ID)) for i, x in zip(ia[rows].tolist(), na_.tolist(), strict=True)], np.int64)
-                if (na_ == la).all() and (nb_ == lb).all():
-                    break
-                label[rows], label[na + cols] = na_, nb_
-            ids = np.concatenate([ia, ib])
-            n = np.concatenate([one, two]).astype(np.int64)
-            keep = (n > 0) | (label != ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep]), pa.array(label[keep])], ["vec_id", "links", "other"])
-
-
-def near_vectors(rows: DataFrame, cosine: float = 0.93, leaf: int = LEAF) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    rows = rows.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
-    usable = stage(vectors(rows), "op2-vectors").withColumn("root", F.concat_ws(":", "label", "size"))
-    classes = stage(usable.groupBy("root", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "op2-classes")
-    members = classes.select(F.col("rep").alias("vec_id"), "root", F.expr("cast(split(root, ':')[size(split(root, ':')) - 1] AS int)").alias("size"), "v", "copies", F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("up"), F.lit(2.0).alias("far"), F.col("v").alias("center"))
+                ids, copies, raw, tree = pickle.loads(batch.column(f"tree_{s}")[k].as_buffer())
+                tree.x = unit(raw)
+                side.append((ids, copies, raw, tree))
+            if batch.column("same")[k].as_py():
+                side[1] = side[0]
+            (ia, wa, ra, ta), (ib, wb, rb, tb) = side
+            found = Links(ta, tb, wa, wb)
+
+            def exact(i: np.ndarray, j: np.ndarray, x: np.ndarray = ra, y: np.ndarray = rb) -> np.ndarray:
+                return (x[i] * y[j]).sum(1) / (np.sqrt((x[i] ** 2).sum(1)) * np.sqrt((y[j] ** 2).sum(1)))
+
+            traverse(ta, tb, found, cosine, exact)
+            first = found.forest()
+            if found.same:
+                ids, n, total = ia, found.count[0] + found.count[1], len(ia) * (len(ia) - 1) // 2
+            else:
+                ids, n, total = np.concatenate([ia, ib]), np.concatenate(found.count), len(ia) * len(ib)
+            keep = (n > 0) | (first != np.arange(len(ids)))
+            m = int(keep.sum())
+            columns = [pa.array([*ids[keep].tolist(), None], pa.int64()), pa.array(np.append(n[keep], 0)), pa.array([*ids[first[keep]].tolist(), None], pa.int64()), pa.array([0] * m + [found.compared], pa.int64()), pa.array([0] * m + [total], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def found_links(classes: DataFrame, cosine: float, leaf: int) -> DataFrame:
+    """compare() of all pairs of trees that no bound prunes; classes: (id, root, size, v, copies)."""
+    members = classes.withColumns({"node": F.lit(1).cast("long"), "up": F.lit(0).cast("long"), "far": F.lit(2.0), "center": F.col("v")})
     key = ["root", "node"]
-    root_center = stage(members.groupBy("root").agg(F.min("vec_id").alias("vec_id")), "op2-roots")
-    tree = stage(members.join(root_center, ["root", "vec_id"]).select("root", "node", F.lit(0).cast("long").alias("up"), "v"), "op2-top").select("root", "node", "up", F.col("v").alias("center"), F.lit(2.0).alias("radius"))
-    level, leaves, nodes = members, [], [tree]
+    root_center = stage(members.groupBy("root").agg(F.min("id").alias("id")), "op2-roots")
+    tree = stage(members.join(root_center, ["root", "id"]).select("root", "node", F.lit(0).cast("long").alias("up"), F.col("v").alias("center"), F.lit(2.0).alias("radius")), "op2-top")
+    level, leaves, nodes = members.drop("center").join(tree.select("root", "center"), "root"), [], [tree]
     for depth in range(DEPTH):
         n = stage(level.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "op2-sizes")
         big = n.where(F.col("n") > leaf).select(*key)
@@ -154,9 +156,9 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, leaf: int = LEAF) -> Dat
         leaves.append(level.join(big, key, "left_anti"))
         inner = level.join(big, key)
         # the least SAMPLE hashes of each node
-        sample = inner.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("vec_id"), "vec_id"))).where(F.col("turn") <= SAMPLE)
-        centers = stage(sample.select("root", "node", "v").groupBy(*key).applyInArrow(split, "root string, node long, centers binary"), "op2-centers")
-        level = stage(inner.drop("up", "far", "center").join(centers, key).mapInArrow(descend, "vec_id long, root string, size int, v binary, copies long, node long, up long, far double, center binary"), "op2-level")
+        sample = inner.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("id"), "id"))).where(F.col("turn") <= SAMPLE)
+        centers = stage(sample.select("root", "node", "center", "v").groupBy(*key).applyInArrow(split, "root string, node long, centers binary"), "op2-centers")
+        level = stage(inner.drop("up", "far", "center").join(centers, key).mapInArrow(descend, "id long, root string, size int, v binary, copies long, node long, up long, far double, center binary"), "op2-level")
         nodes.append(stage(level.groupBy(*key).agg(F.first("up").alias("up"), F.first("center").alias("center"), F.max("far").alias("radius")), "op2-nodes"))
     tree = nodes[0]
     for x in nodes[1:]:
@@ -178,36 +180,49 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, leaf: int = LEAF) -> Dat
     while True:
         done.append(pairs.where("NOT open").select("root", "node_a", "node_b"))
         pairs = pairs.where("open")
-        if pairs.isEmpty():
+        if len(nodes) == 1 or pairs.isEmpty():
             break
         grown = pairs.select("root", "node_a", "node_b").join(side("a"), ["root", "node_a"]).join(side("b"), ["root", "node_b"]).where("node_a != node_b OR next_a <= next_b")
-        grown = grown.where((F.col("next_a") == F.col("next_b")) | (apart("center_a", "center_b") <= F.col("radius_a") + F.col("radius_b") + distance(cosine) + 1e-9))
+        grown = grown.where((F.col("next_a") == F.col("next_b")) | (apart("center_a", "center_b") <= F.col("radius_a") + F.col("radius_b") + distance(cosine) + 1e-6))
         pairs = stage(grown.select("root", F.col("next_a").alias("node_a"), F.col("next_b").alias("node_b"), (F.col("split_a") | F.col("split_b")).alias("open")), "op2-pairs")
-    found = done[0]
+    meet = done[0]
     for x in done[1:]:
-        found = found.unionByName(x)
+        meet = meet.unionByName(x)
 
-    flat = leaves[0].select("vec_id", *key, "v", "copies")
+    flat = leaves[0].select("id", *key, "v", "copies")
     for x in leaves[1:]:
-        flat = flat.unionByName(x.select("vec_id", *key, "v", "copies"))
+        flat = flat.unionByName(x.select("id", *key, "v", "copies"))
     # a leaf that could not be split further is cut into blocks, so a block never has many more than `leaf` rows
     sizes = stage(flat.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / leaf).alias("cuts")), "op2-cuts")
-    flat = flat.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
-    blocks = flat.groupBy(*key, "block").agg(F.collect_list(F.struct("vec_id", "copies", "v")).alias("x")).join(tree.select(*key, "center", "radius"), key)
-    blocks = stage(blocks.select(*key, "block", "center", "radius", F.col("x.vec_id").alias("ids"), F.col("x.copies").alias("copies"), F.col("x.v").alias("vs")), "op2-blocks")
-    part = lambda s: blocks.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "center", "radius", "ids", "copies", "vs")))
-    ready = found.join(part("a"), ["root", "node_a"]).join(part("b"), ["root", "node_b"]).where("node_a != node_b OR block_a <= block_b")
-    ready = ready.withColumn("same", F.expr("node_a = node_b AND block_a = block_b"))
-    got = stage(ready.mapInArrow(lambda b: compare(b, cosine), "vec_id long, links long, other long"), "op2-links")
-    links = got.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = components(got.where("vec_id != other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    of = classes.join(links, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    of = of.select("root", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    known = usable.join(of, ["root", "v"]).select("vec_id", "n_links", "component").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    out = rows.select("vec_id").join(stage(known, "op2-known"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    return out.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("vec_id", "component_id")})
+    flat = flat.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    trees = stage(flat.select("id", *key, "block", "v", "copies").groupBy(*key, "block").applyInArrow(lambda t: planted(t.sort_by("id"), cosine), "root string, node long, block long, tree binary"), "op2-trees")
+    # the trees of a pair meet in a row of their own: ids first, then what they stand for
+    names = trees.select(*key, "block")
+    one = lambda s: names.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "block")))
+    ready = meet.join(one("a"), ["root", "node_a"]).join(one("b"), ["root", "node_b"]).where("node_a != node_b OR block_a <= block_b")
+    for s in "ab":
+        ready = ready.join(trees.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "tree"))), ["root", f"node_{s}", f"block_{s}"])
+    ready = ready.select("tree_a", "tree_b", F.expr("node_a = node_b AND block_a = block_b").alias("same"))
+    return stage(ready.repartition(F.xxhash64("tree_a", "tree_b")).mapInArrow(lambda b: compare(b, cosine), "id long, links long, other long, compared long, pairs long"), "op2-links")
+
+
+def near_vectors(rows: DataFrame, cosine: float = 0.93, leaf: int = LEAF) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
+    fine = F.coalesce(usable(), F.lit(False))
+    own = stage(vectors(rows.where(fine)), "op2-vectors").withColumn("root", F.concat_ws(":", "label", "size"))
+    classes = own.groupBy("root", "size", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "op2-classes")  # written, so an id stays
+    got = found_links(classes.select("id", "root", "size", "v", "copies"), cosine, leaf).where("id IS NOT NULL")
+    links = got.groupBy("id").agg(F.sum("links").alias("links"))
+    labels = components(got.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    of = classes.select("id", "root", "v", "least", "copies").join(links, "id", "left").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = stage(of.select("root", "v", "least", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "op2-known")
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(least, "component").select("root", "v", "n_links", "component_id")
+    linked = own.select("vec_id", "root", "v").join(of, ["root", "v"]).select("vec_id", "n_links", "component_id")
+    out = linked.unionByName(rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

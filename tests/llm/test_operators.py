@@ -200,7 +200,7 @@ def test_op5_tokens(text):
     assert got.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
 
 
-@pytest.mark.parametrize("leaf", [2048, 12])
+@pytest.mark.parametrize("leaf", [4096, 12])
 def test_op2(spark, leaf):
     rng = np.random.default_rng(3)
     vs = []
@@ -223,6 +223,58 @@ def test_op2(spark, leaf):
     assert got == {i: (links[i], comp[i], comp[i] == i) for i in links}
 
 
+def test_op2_null_and_repeated_ids(spark):
+    """Rows of null or equal ids are vectors of their own: they join nothing but what is near them."""
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x, 0), (2, y, 0), (None, x, 0), (None, y, 0), (5, [0.0, 0.0, 1.0], 0), (5, [2.0, 0.0, 0.0], 0), (None, [0.0, 0.0, -1.0], 0)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in op2_cover_tree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == sorted([("1", 2, "1", True), ("2", 1, "2", True), ("None", 2, "1", False), ("None", 1, "2", False), ("5", 0, "5", True), ("5", 2, "1", False), ("None", 0, "None", True)])
+
+
+@pytest.mark.parametrize("leaf", [4096, 300])
+def test_op2_prunes(spark, leaf):
+    """Thousands of linked vectors of 64 dimensions in clusters: equal to brute force, and most pairs are never compared."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(60, 64))
+    v = np.concatenate([c + rng.normal(size=(40, 64)) * s for c in centers for s in (0.2,)]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), i // 40 % 2) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (np.arange(len(v))[:, None] // 40 % 2 == np.arange(len(v))[None, :] // 40 % 2)
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(v))
+    while True:
+        new = np.minimum(comp, np.where(link, comp[None, :], len(v)).min(1))
+        if (new == comp).all():
+            break
+        comp = new
+    assert link.sum() > 10_000
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op2_cover_tree.near_vectors(df, leaf=leaf).collect()}
+    assert got == {i: (int(link[i].sum()), int(comp[i])) for i in range(len(v))}
+    from pyspark.sql import functions as F
+
+    classes = op2_cover_tree.vectors(df.withColumn("label", F.col("label").cast("string"))).select(F.col("vec_id").alias("id"), F.concat_ws(":", "label", "size").alias("root"), "size", "v", F.lit(1).cast("long").alias("copies"))
+    done = op2_cover_tree.found_links(classes, 0.93, leaf).agg(F.sum("compared"), F.sum("pairs")).first()
+    assert done[0] < len(v) ** 2 / 4 * 0.5
+
+
+def test_cover_tree():
+    """Levels nest, radii halve, children lie apart and cover their node."""
+    from stringloom.llm.covertree import Tree, distances
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 5)).repeat(20, 0) + rng.normal(size=(600, 5)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = Tree(x, 0.05)
+    assert len(t.kids) > 30 and sorted(t.points(0).tolist()) == list(range(600))
+    for i, kids in t.kids.items():
+        assert t.center[kids[0]] == t.center[i] and (t.scale[kids] <= t.scale[i] / 2).all() and (t.radius[kids] <= t.scale[kids] + 1e-12).all()
+        assert sorted(np.concatenate([t.points(k) for k in kids]).tolist()) == sorted(t.points(i).tolist())
+        apart = distances(x[t.center[kids]], x[t.center[kids]])[np.triu_indices(len(kids), 1)]
+        assert (apart > t.scale[kids[0]] - 1e-9).all()
+        assert all(distances(x[t.points(k)], x[t.center[[k]]]).max() <= t.radius[k] + 1e-7 for k in kids)
+
+
 def test_op3(spark):
     rng = random.Random(2)
     rows, labels = [], []
