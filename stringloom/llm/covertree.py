@@ -66,6 +66,7 @@ class Tree:
                 scale.append(half)
         self.low, self.high, self.center, self.radius, self.scale = (np.array(v) for v in (low, high, center, radius, scale))
         self.kids = {k: np.array(v) for k, v in kids.items()}
+        self.single = self.high - self.low == 1
 
     def children(self, i: int) -> np.ndarray:
         """A leaf stands for itself."""
@@ -125,10 +126,29 @@ def traverse(a: Tree, b: Tree, found: Links, cosine: float, exact) -> None:
             continue
         for at in range(0, len(mine), SIDE):
             part = mine[at : at + SIDE]
-            near = distances(a.x[a.center[part]], b.x[b.center[theirs]]) <= a.radius[part][:, None] + b.radius[theirs][None, :] + (reach + MARGIN)
+            got = a.x[a.center[part]] @ b.x[b.center[theirs]].T
+            near = np.sqrt(np.maximum(2 - 2 * got, 0)) <= a.radius[part][:, None] + b.radius[theirs][None, :] + (reach + MARGIN)
+            if own:  # of two children one looks at the other, but nodes of one point are settled both ways
+                order = np.arange(at, at + len(part))[:, None] <= np.arange(len(theirs))[None, :]
+            rows, cols = np.flatnonzero(a.single[part]), np.flatnonzero(b.single[theirs])
+            if len(rows) and len(cols):
+                p, q, at_once = a.center[part[rows]], b.center[theirs[cols]], np.ix_(rows, cols)
+                settle(found, p, q, got[at_once], near[at_once] & (p[:, None] != q[None, :]) if own else near[at_once], cosine, exact, own)
+                near[at_once] = False
+            if own:
+                near &= order
             for k, m in zip(*np.nonzero(near), strict=True):
-                if not own or at + k <= m:
-                    todo.append((int(part[k]), int(theirs[m])))
+                todo.append((int(part[k]), int(theirs[m])))
+
+
+def settle(found: Links, p: np.ndarray, q: np.ndarray, got: np.ndarray, which: np.ndarray, cosine: float, exact, same: bool) -> None:
+    """Links of the points p of a and q of b with cosines `got`, of those pairs only that `which` names."""
+    found.compared += int(which.sum()) // (2 if same else 1)
+    link = which & (got >= cosine)
+    r, s = np.nonzero(which & (np.abs(got - cosine) < 1e-9))
+    if len(r):
+        link[r, s] = exact(p[r], q[s]) >= cosine
+    found.block(p, q, link, same)
 
 
 def leaves(a: Tree, b: Tree, i: int, j: int, found: Links, cosine: float, exact, same: bool) -> None:
@@ -136,18 +156,11 @@ def leaves(a: Tree, b: Tree, i: int, j: int, found: Links, cosine: float, exact,
     if same and len(p) == 1:
         return
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    which = ~np.eye(len(p), dtype=bool) if same else np.ones((len(p), len(q)), bool)
     if distances(a.x[a.center[[i]]], b.x[b.center[[j]]])[0, 0] + a.radius[i] + b.radius[j] <= reach - MARGIN:
-        link = np.ones((len(p), len(q)), bool)
+        found.block(p, q, which, same)
     else:
-        found.compared += len(p) * len(q)
-        got = a.x[p] @ b.x[q].T
-        link = got >= cosine
-        r, s = np.nonzero(np.abs(got - cosine) < 1e-9)
-        if len(r):
-            link[r, s] = exact(p[r], q[s]) >= cosine
-    if same:
-        np.fill_diagonal(link, False)
-    found.block(p, q, link, same)
+        settle(found, p, q, a.x[p] @ b.x[q].T, which, cosine, exact, same)
 
 
 def spread(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
