@@ -1,8 +1,10 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 counts, in a Bloom filter of fixed size with two hash functions, the bits that more than one row sets. In pass 2 a
-row whose two bits are not both such bits has no copy: it passes straight through. Only the others shuffle. The filter has
-2**log2_bits bits whatever the input; beyond its capacity more rows shuffle and the result stays the same.
+Pass 1 counts how often each slot of a Bloom filter with two hash functions is set. The filter has some 128 slots a row, so
+slots that are set twice are few but for copies; they are folded to a filter of at most 2**most bits, which is broadcast. In
+pass 2 a row whose two bits are not both set there has no copy: it passes straight through. Only the others shuffle. Beyond the
+folded filter's capacity, some 2**(most - 2) groups of copies, more rows shuffle and the result stays the same. Each text is
+hashed once, by SHA-256: what follows reads the hash.
 
 Defined results: a null text counts as empty. Rows with a null doc_id take part and stand below every other id. Rows that
 share doc_id and text all count in group_size and are kept or dropped together. Columns of the input named like a result
@@ -19,19 +21,32 @@ from .common import lower_ascii, stage, table
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
-def exact_dedup(docs: DataFrame, log2_bits: int = 24, heavy: int = 1000) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256.
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with text_sha256, the hash of the normalised text."""
+    return docs.drop(*RESULT).withColumn("text_sha256", F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
+
+
+def exact_dedup(docs: DataFrame, most: int = 26, heavy: int = 1000) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256."""
+    return grouped(hashed(docs), most, heavy)
+
+
+def grouped(rows: DataFrame, most: int = 26, heavy: int = 1000) -> DataFrame:
+    """hashed() rows with keep_id, group_size and kept.
 
     heavy: that many largest groups of copies are joined by broadcast, so no key left to the shuffled join holds more than
     one row in `heavy`.
     """
-    rows = docs.drop(*RESULT).withColumn("text_sha256", F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
-    slot = [F.pmod(F.xxhash64(F.lit(seed), F.col("text_sha256")), F.lit(1 << log2_bits)) for seed in (1, 2)]
+    rows = stage(rows, "op9-rows")
+    log2 = min(60, max(10, rows.count().bit_length() + 7))
+    slot = [F.pmod(F.xxhash64(F.lit(seed), F.col("text_sha256")), F.lit(1 << log2)) for seed in (1, 2)]
     twice = rows.select(F.explode(F.array(*slot)).alias("slot")).groupBy("slot").count().where("count > 1")
-    words = stage(twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")), "op9-bloom")
+    fold = F.lit((1 << min(log2, most)) - 1)
+    words = twice.select(F.col("slot").bitwiseAND(fold).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
+    words = stage(words, "op9-bloom")
 
-    flagged = rows.withColumns({"__s1": slot[0], "__s2": slot[1]})
-    for k in ("1", "2"):  # at most 2**(log2_bits - 6) rows
+    flagged = rows.withColumns({"__s1": slot[0].bitwiseAND(fold), "__s2": slot[1].bitwiseAND(fold)})
+    for k in ("1", "2"):  # at most 2**(most - 6) rows
         bits = F.broadcast(words.select(F.col("word").alias(f"__w{k}"), F.col("bits").alias(f"__b{k}")))
         flagged = flagged.join(bits, F.shiftright(f"__s{k}", 6) == F.col(f"__w{k}"), "left")
     hit = [f"coalesce(__b{k} & shiftleft(1L, cast(__s{k} & 63 AS int)), 0L) != 0" for k in "12"]
@@ -49,7 +64,7 @@ def exact_dedup(docs: DataFrame, log2_bits: int = 24, heavy: int = 1000) -> Data
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *RESULT)
+    return grouped(hashed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")).select("doc_id", *RESULT)
 
 
 SQL = """
