@@ -5,6 +5,10 @@ curve is the sort key. Documents are range-partitioned by (key, doc_id), so that
 is split, and sorted. Each partition joins its documents along the curve and cuts every 1024 ids; what is left at its end
 becomes sequences of powers of two, which need no padding. Only ids and keys shuffle.
 
+Ids are those of the tokenizers file. Texts that hold one of its added tokens (<|endoftext|>) are encoded by tokenizers itself,
+all others by tiktoken from the ranks of the same vocabulary. Pre-tokens that were encoded before are known by a 64-bit hash,
+and a known one's code points are compared before its ids are taken.
+
 Defined results: a null or empty text is the single id 0. Rows that share a doc_id are packed one after the other, each
 from start 0. sequence_id is unique: the partition's number, then a number in it. No rows in, no rows out.
 """
@@ -25,6 +29,8 @@ from .common import stage, table
 from .textnp import BASE, U, mix
 
 LENGTH, DIMS, BITS = 1024, 4, 12
+#: Bytes of ids in a partition of the curve.
+PART = 64_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,6 +53,19 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(2)
+def whole(path: str):
+    """The tokenizers file that belongs to the ranks, and its added tokens."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = path.removesuffix(".tiktoken") + ".json"
+    with open(path, encoding="utf-8") as raw:
+        added = tuple(x["content"] for x in json.load(raw)["added_tokens"])
+    return Tokenizer.from_file(path), added
+
+
 @lru_cache(1)
 def classes() -> np.ndarray:
     """Of each code point up to U+024F: 0 white space, 1 letter, 2 number, 3 other. Texts beyond take the slower way."""
@@ -78,17 +97,24 @@ class Tokens:
 
     def __init__(self, path: str):
         self.encoder = encoder(path)
+        self.whole, self.added = whole(path)
         self.clear()
 
+    def slow(self, text: str) -> list[int]:
+        if any(x in text for x in self.added):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.encoder.encode_ordinary(text)
+
     def clear(self) -> None:
         self.keys, self.at, self.ids, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        self.points, self.from_, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         sizes = np.zeros(len(texts), np.int64)
-        plain = [i for i, x in enumerate(texts) if x and "'" not in x and (x.isascii() or max(x) < "ɐ")]
+        plain = [i for i, x in enumerate(texts) if x and "'" not in x and (x.isascii() or max(x) < "ɐ") and not any(y in x for y in self.added)]
         odd = sorted(set(range(len(texts))) - set(plain))
-        slow = {i: np.array(self.encoder.encode_ordinary(texts[i]), np.uint16) for i in odd}
+        slow = {i: np.array(self.slow(texts[i]), np.uint16) for i in odd}
         flat, firsts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
         if plain:
             points = np.frombuffer("".join(texts[i] for i in plain).encode("utf-32-le"), np.uint32)
@@ -121,7 +147,17 @@ class Tokens:
 
     def find(self, words: np.ndarray, begin: np.ndarray, lens: np.ndarray, points: np.ndarray) -> np.ndarray:
         known, first = np.unique(words, return_index=True)
-        fresh = first[~np.isin(known, self.keys, assume_unique=True)]
+        old = np.isin(known, self.keys, assume_unique=True)
+        fresh = first[~old]
+        if old.any():
+            a, b = first[old], np.searchsorted(self.keys, known[old])
+            same = self.lens[b] == lens[a]
+            if same.all():
+                pos = np.arange(int(lens[a].sum())) - np.repeat(np.cumsum(lens[a]) - lens[a], lens[a])
+                same = points[np.repeat(begin[a], lens[a]) + pos] == self.points[np.repeat(self.from_[b], lens[a]) + pos]
+            if not same.all():  # two pre-tokens of one hash: forget all
+                self.clear()
+                fresh = first
         if len(fresh):
             if len(self.keys) + len(fresh) > self.MOST:
                 self.clear()
@@ -130,8 +166,13 @@ class Tokens:
             n = np.array([len(x) for x in got], np.int64)
             keys, at = np.append(self.keys, words[fresh]), np.append(self.at, len(self.ids) + np.cumsum(n) - n)
             self.ids = np.append(self.ids, np.array([y for x in got for y in x], np.uint16))
+            size = lens[fresh]
+            from_ = np.append(self.from_, len(self.points) + np.cumsum(size) - size)
+            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            self.points = np.append(self.points, points[np.repeat(begin[fresh], size) + pos])
             order = np.argsort(keys)
             self.keys, self.at, self.count = keys[order], at[order], np.append(self.count, n)[order]
+            self.from_, self.lens = from_[order], np.append(self.lens, size)[order]
         return np.searchsorted(self.keys, words)
 
 
@@ -183,7 +224,7 @@ def keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, curve, ids): ids as unsigned 16-bit numbers with the closing 0."""
+    """(doc_id, curve, size, ids): ids as unsigned 16-bit numbers with the closing 0."""
     where = vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,18 +244,20 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
                 offsets = np.append(0, at * 2).astype(np.int32)
                 binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([ids_in.slice(i, j - i), pa.array(keys(ids, n1)), binary], ["doc_id", "curve", "ids"])
+                yield pa.RecordBatch.from_arrays([ids_in.slice(i, j - i), pa.array(keys(ids, n1)), pa.array(n1 * 2), binary], ["doc_id", "curve", "size", "ids"])
                 i = j
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, curve long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, curve long, size long, ids binary")
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """One row per piece."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # staged, since range partitioning reads its input twice, once for a sample
-    laid = stage(tokenized(docs, path), "op5-ids").repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
+    ids = stage(tokenized(docs, path), "op5-ids")
+    size = ids.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    laid = ids.drop("size").repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(length)
