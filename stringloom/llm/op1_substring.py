@@ -26,12 +26,19 @@ from .common import NO_ID, stage, table, text_rows
 from .textnp import anchors, arrow_text, covered, signed, slices, spans_hash, window_hash, word_bounds
 
 GRAM = 12
+#: An `at` is the first window's start, shifted by so many bits, and below it the number of windows.
+SHIFT = 24
 #: Rows that a task gathers before it looks for anchors that several of its texts share.
 GATHER = 1 << 20
 
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+def check_width(width: int, least: int) -> None:
+    if not least <= width <= 1 << 20:
+        raise ValueError(f"width is {least} to {1 << 20}")
+
+
 def word_anchors(width: int) -> Units:
     def run(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, row = word_bounds(buf, off)
@@ -56,8 +63,7 @@ def shared(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(rows: DataFrame, units: Units) -> DataFrame:
-    """(h1, found): for each text by its hash, the runs of windows whose anchor is not unique, as (anchor, at): at is the
-    first window's start times 256 plus the number of windows."""
+    """(h1, found): for each text by its hash, the runs of windows whose anchor is not unique, as (anchor, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -87,13 +93,13 @@ def repeated_anchors(rows: DataFrame, units: Units) -> DataFrame:
                 if len(seen) > GATHER:
                     seen.clear()
                 ok = fresh[row]
-                held.append((signed(value[ok]), own[row[ok]], start[ok] * 256 + count[ok]))
+                held.append((signed(value[ok]), own[row[ok]], (start[ok] << SHIFT) + count[ok]))
                 if sum(len(x[0]) for x in held) >= GATHER:
                     yield from flush()
         yield from flush()
 
     found = rows.select("h1", "text").mapInArrow(run, "key long, anchor long, h1 long, at long, kind byte")
-    meet = Window.partitionBy("key")  # at most one row per text that is alone in its task, and one per task
+    meet = Window.partitionBy("key")  # at most one row per task and key: a task sends no second one of an anchor
     found = found.withColumns({"low": F.min("h1").over(meet), "high": F.max("h1").over(meet), "told": F.max(F.when(F.col("kind") == 2, 1)).over(meet)})
     found = found.where("kind = 1 OR (kind = 0 AND (low < high OR told = 1))").select("h1", "anchor", "at")
     return stage(found, "anchors")
@@ -114,7 +120,7 @@ def runs_of(value: pa.Scalar) -> np.ndarray:
     """The at of a `found` list, ascending."""
     if not value.is_valid:
         return np.zeros(0, np.int64)
-    return np.sort(np.array([x["at"] for x in value.as_py()], np.int64))
+    return np.sort(value.values.field("at").to_numpy())
 
 
 def window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -129,8 +135,8 @@ def window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             at = [(k, runs_of(found[i + k])) for k in range(j - i)]
             owner = np.concatenate([np.full(len(x), k) for k, x in at])
             run = np.concatenate([x for _, x in at])
-            count = run & 255
-            owner, first = np.repeat(owner, count), np.repeat(run >> 8, count)
+            count = run & ((1 << SHIFT) - 1)
+            owner, first = np.repeat(owner, count), np.repeat(run >> SHIFT, count)
             begin = first + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
             ok = begin + width <= (bounds[owner + 1] - bounds[owner])
             owner, begin = owner[ok], begin[ok]
@@ -140,7 +146,8 @@ def window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 
 def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) of every row; spans are the maximal removed [start, end) in words.
-    doc_id is NO_ID where it is null."""
+    doc_id is NO_ID where it is null. width: from GRAM words to 2**20."""
+    check_width(width, GRAM)
     rows = text_rows(docs)
     heads = first_of_text(rows)
     found = repeated_anchors(rows, word_anchors(width))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, stage, table, text_rows
-from .op1_substring import Units, first_of_text, repeated_anchors, runs_of, with_runs
+from .op1_substring import SHIFT, Units, check_width, first_of_text, repeated_anchors, runs_of, with_runs
 from .textnp import anchors, arrow_text, bytes_hash, covered, signed, window_hash
 
 GRAM, WIDTH, HEAVY, LARGE = 24, 100, 16_384, 10_000
@@ -136,7 +136,7 @@ def piece_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             raw = buf[off[i] : off[i + 1]].tobytes()
             seen = set()
             for x in sorted((y["at"], y["anchor"]) for y in found[i].as_py()):
-                start, count = x[0] >> 8, x[0] & 255
+                start, count = x[0] >> SHIFT, x[0] & ((1 << SHIFT) - 1)
                 piece = raw[start : start + count + width - 1]
                 if len(piece) >= width and (x[1], piece) not in seen:
                     seen.add((x[1], piece))
@@ -231,7 +231,9 @@ def heavy_answers(heavy: DataFrame, width: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; doc_id is NO_ID where it is null."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; doc_id is NO_ID where it is null. width: from
+    GRAM bytes to 2**20."""
+    check_width(width, GRAM)
     rows = text_rows(docs)
     found = repeated_anchors(rows, byte_anchors(width))
     info = stage(with_runs(found, first_of_text(rows)), "op4-heads").select(F.col("doc_id").alias("d"), F.col("h1").alias("g"), F.col("h2").alias("other"), "found", F.lit(True).alias("head"))
@@ -267,7 +269,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> Dat
                     at = runs_of(found[i])
                     again = {x["start"]: x["again"] for x in firsts[i].as_py()} if firsts[i].is_valid else {}
                     parts = []
-                    for start, count in zip((at >> 8).tolist(), (at & 255).tolist(), strict=True):
+                    for start, count in zip((at >> SHIFT).tolist(), (at & ((1 << SHIFT) - 1)).tolist(), strict=True):
                         flags = again.get(start)  # None: not the first of equal pieces
                         parts.append(np.arange(start, start + count) if flags is None else start + np.flatnonzero(np.frombuffer(flags, np.uint8)))
                     begin = np.concatenate(parts) if parts else np.zeros(0, np.int64)

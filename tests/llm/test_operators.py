@@ -88,6 +88,36 @@ def test_op4_every_heavy_anchor(docs, monkeypatch):
     assert got == sorted(map(tuple, op4_suffix.suffix_dedup(docs, heavy=3).collect())) and seen[0] == seen[1]
 
 
+@pytest.mark.parametrize("width", [300, 400])
+def test_other_widths(spark, width):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(50)}" for _ in range(900)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words) + " y"), (3, "z" * 90)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in op1_substring.substring_dedup(docs, width).collect()}
+    assert got == {1: 0, 2: 900, 3: 0}
+    n = len(" ".join(words))
+    assert {r.doc_id: r.n_removed for r in op4_suffix.suffix_dedup(docs, width).collect()} == {1: 0, 2: n, 3: 0}
+    with pytest.raises(ValueError):
+        op1_substring.substring_dedup(docs, 5)
+
+
+def test_op5_forgets_on_a_collision(monkeypatch):
+    """Pre-tokens of one hash: what is known is compared, so ids stay right."""
+    path = op5_packing.vocabulary()
+    t = op5_packing.Tokens(path)
+    t(["alpha beta"])
+    t.points = t.points + np.uint32(1)  # as if other pre-tokens had these hashes
+    got, _ = t(["alpha beta"])
+    assert got.tolist() == op5_packing.encoder(path).encode_ordinary("alpha beta")
+
+
+@pytest.mark.parametrize("most", [10, 26])
+def test_op9_small_filter(odd, most):
+    """A filter beyond its capacity lets more rows shuffle and changes nothing."""
+    got = sorted(map(str, op9_exact_dedup.exact_dedup(odd, most=most).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert got == sorted(map(str, op9_exact_dedup.exact_dedup(odd).select("doc_id", "keep_id", "group_size", "kept").collect()))
+
+
 def near_truth(percent=75):
     sets = {}
     for i, t in corpus():
@@ -192,11 +222,14 @@ def test_op5(docs):
         assert at <= 1024 and at & (at - 1) == 0
 
 
-@pytest.mark.parametrize("text", ["it's  a \n\n test\t\tx 12ab ", "don''t", "ñ é  ü x", "日本 語", " ", "a\r\n b", "x!!  ?? 'll", "<|endoftext|>"])
+@pytest.mark.parametrize("text", ["it's  a \n\n test\t\tx 12ab ", "don''t", "ñ é  ü x", "日本 語", " ", "a\r\n b", "x!!  ?? 'll", "<|endoftext|>", "a <|endoftext|> b's"])
 def test_op5_tokens(text):
     path = op5_packing.vocabulary()
     got, n = op5_packing.Tokens(path)(["abc def", text, "plain  text\n"])
-    want = [op5_packing.encoder(path).encode_ordinary(x) for x in ("abc def", text, "plain  text\n")]
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+    want = [whole.encode(x, add_special_tokens=False).ids for x in ("abc def", text, "plain  text\n")]
     assert got.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
 
 
