@@ -42,6 +42,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with marks in front until no column has it."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z only. lower() does just that on pure ASCII, and much faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))

@@ -13,7 +13,9 @@ Blocks are what block elements enclose; inline elements and <br> do not end them
 space becomes single spaces, blocks are joined by a line feed.
 
 Defined results: a null or empty html has an empty text. A null url is a host of its own. Rows that repeat are each done.
-Columns of the input named text or n_chars are replaced. Tags that never end, stray ends and cut pages are read as they are.
+Columns of the input named text or n_chars are replaced. A tag without ">" is text. A quote that is never closed ends with its tag.
+Scripts, styles, titles and the like without an end tag lose their tag only. A host with one page has no entropy: there names
+alone decide.
 """
 
 from __future__ import annotations
@@ -22,16 +24,18 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import free, stage, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A tag's name and attributes. A quote is one only after "=", and only where it is closed.
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?=[\s=/]|\Z)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # Element and class names of HTML pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe textarea title svg".split())
@@ -63,93 +67,153 @@ def noisy(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
     return noise, hidden, style
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, tuple[int, ...], int]], dict[str, list[str]]]:
-    """The blocks with text that are not hidden: path, text, the numbers of the branches above that are noise by name, and
-    the number of the article it is in (0: none). And the styles of each path's children."""
-    out: list[tuple[str, str, tuple[int, ...], int]] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, tuple[int, ...], int, bool]] = [("", "", (), 0, False)]
-    parts: list[str] = []
-    articles, branches, at, n = 0, 0, 0, len(page)
-
-    def end() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text and not stack[-1][4]:
-                k = len(stack) - 1
-                while k and stack[k][0] in INLINE:
-                    k -= 1
-                out.append((stack[k][1], text, stack[-1][2], stack[k][3]))
-            parts.clear()
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        close, tag = m[1], m[2]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in INLINE and tag not in RAW:
-            if tag == "br":
-                parts.append(" ")
-            continue
-        if close:
+class Scanner:
+    """The tags of a page in order, in time linear in its length whatever is unbalanced in it."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.odd = False  # a tag whose quotes swallow the rest of the page: from there on a tag ends at the first ">"
+        self.ends: dict[str, int] = {}
+
+    def tag(self, at: int) -> tuple[int, bool, str, str] | None:
+        """End, whether it closes, name and attributes of the tag at `at`; without name for comments and the like; None: text."""
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(page)), False, "", ""
+        if at > self.last:
+            return None
+        if page.startswith(("<!", "<?"), at):
+            return page.index(">", at) + 1, False, "", ""
+        m = None if self.odd else TAG.match(page, at)
+        if m:
+            return m.end(), page[at + 1] == "/", m[1].lower(), m[2]
+        close = page.startswith("/", at + 1)
+        if not page[at + 1 + close : at + 2 + close].isalpha():
+            return None
+        self.odd = True
+        end = page.index(">", at) + 1
+        name, _, rest = page[at + 1 + close : end - 1].partition(" ")
+        return end, close, name.strip("/\t\r\n\f").lower(), rest
+
+    def after(self, tag: str, at: int) -> int:
+        """Where the raw content of an element ends that begins at `at`: after its end tag, or where there is none at once."""
+        if self.ends.get(tag, at) < at or tag not in self.ends:
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+            self.ends[tag] = m.end() if m else len(self.page) + 1
+        return self.ends[tag] if self.ends[tag] <= len(self.page) else at
+
+
+class Page:
+    """found: the blocks with text that are not hidden, as path, text, branch, article. A branch is the number of the innermost
+    element above that is noise by name (0: none), above[branch] the next one around it; an article is the number of the outermost
+    one (0: none), around[article] the branch it is in. children: the styles of each path's children. Paths are hashes."""
+
+    def __init__(self, page: str):
+        self.found: list[tuple[int, str, int, int]] = []
+        self.children: dict[int, list[str]] = {}
+        self.above, self.around = [0], [0]
+        stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]
+        opened: Counter[str] = Counter()
+        parts: list[str] = []
+        scan, at, n = Scanner(page), 0, len(page)
+
+        def end() -> None:
+            if parts:
+                text = " ".join(entities.unescape("".join(parts)).split())
+                if text and not stack[-1][4]:
+                    self.found.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
+                parts.clear()
+
+        while at < n:
+            begin = page.find("<", at)
+            if begin < 0:
+                parts.append(page[at:])
+                break
+            if begin > at:
+                parts.append(page[at:begin])
+            tag = scan.tag(begin)
+            if tag is None:
+                parts.append("<")
+                at = begin + 1
+                continue
+            at, close, name, attributes = tag
+            if not name:
+                continue
+            if name in INLINE:
+                if name == "br":
+                    parts.append(" ")
+                continue
             end()
-            k = len(stack) - 1
-            while k and stack[k][0] != tag:
-                k -= 1
-            if k:
-                del stack[k:]
-            continue
+            if close:
+                if opened[name]:
+                    while True:
+                        gone = stack.pop()[0]
+                        opened[gone] -= 1
+                        if gone == name:
+                            break
+                continue
+            closed = attributes.rstrip().endswith("/")
+            if name in RAW:
+                if not closed:
+                    at = scan.after(name, at)
+                continue
+            if name in VOID or closed:
+                continue
+            if name in ENDS_P and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
+                opened[stack.pop()[0]] -= 1
+            _, path, branch, inside, hidden = stack[-1]
+            noise, hides, style = noisy(name, attributes, inside > 0)
+            if noise:
+                self.above.append(branch)
+                branch = len(self.above) - 1
+            if not inside and not noise and (name in MAIN_ROLES or MAIN.search(attributes)):
+                self.around.append(branch)
+                inside = len(self.around) - 1
+            self.children.setdefault(path, []).append(style)
+            opened[name] += 1
+            stack.append((name, path_of(path, style), branch, inside, hidden or hides))
         end()
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            over = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = over.end() if over else n
-            continue
-        if tag in VOID or m[3].rstrip().endswith("/"):
-            continue
-        if tag in ENDS_P and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
-            stack.pop()
-        up = stack[-1]
-        noise, hidden, style = noisy(tag, m[3], up[3] > 0)
-        inside, above = up[3], up[2]
-        if noise:
-            branches += 1
-            above = (*above, branches)
-        if not inside and (tag in MAIN_ROLES or 'role="main"' in m[3]) and not noise:
-            articles += 1
-            inside = articles
-        children.setdefault(up[1], []).append(style)
-        stack.append((tag, f"{up[1]}/{style}", above, inside, up[4] or hidden))
-    end()
-    return out, children
-
-
-def kept(page: str, low: set[str]) -> list[str]:
+
+
+MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
+
+
+def path_of(parent: int, style: str) -> int:
+    return int.from_bytes(blake2b(f"{parent} {style}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def kept(page: str, low: set[int]) -> list[str]:
     """The texts of a page's main blocks; low: its host's noise."""
-    found, _ = blocks(page)
+    read = Page(page)
+    found = read.found
     unique = [0 if p in low else len(t) for p, t, _, _ in found]
-    of_branch: Counter[int] = Counter()
-    of_article: Counter[int] = Counter()
-    for n, (_, _, above, article) in zip(unique, found, strict=True):
-        for k in above:
-            of_branch[k] += n
+    of_branch, of_article = [0] * len(read.above), [0] * len(read.around)
+    for n, (_, _, branch, article) in zip(unique, found, strict=True):
+        of_branch[branch] += n
         of_article[article] += n
-    stay = {k for k, n in of_branch.items() if 2 * n > sum(unique)}
-    start: dict[int, set[int]] = {}  # the branches around an article: those above all of its blocks
-    for _, _, above, article in found:
-        if article:
-            start[article] = start.get(article, set(above)) & set(above)
-    if start and all(x - stay for x in start.values()):
-        stay |= start[max(start, key=lambda k: (of_article[k], -k))]
-    named = [x for x in found if stay.issuperset(x[2])]
-    good = [x for x in named if x[0] not in low] or named
-    return [t for _, t, _, _ in ([x for x in good if x[3]] or good)]
+    for k in range(len(of_branch) - 1, 0, -1):
+        of_branch[read.above[k]] += of_branch[k]
+    total = sum(unique)
+    stay = [k == 0 or 2 * n > total for k, n in enumerate(of_branch)]
+
+    def fine() -> list[bool]:
+        out = [True] * len(stay)
+        for k in range(1, len(stay)):
+            out[k] = stay[k] and out[read.above[k]]
+        return out
+
+    good = fine()
+    articles = {x[3] for x in found if x[3]}
+    if articles and not any(good[read.around[k]] for k in articles):
+        k = read.around[max(articles, key=lambda k: (of_article[k], -k))]
+        while k:
+            stay[k] = True
+            k = read.above[k]
+        good = fine()
+    named = [x for x in found if good[x[2]]]
+    told = [x for x in named if x[0] not in low] or named
+    return [t for _, t, _, _ in ([x for x in told if x[3]] or told)]
 
 
 def host_of(c: str) -> Column:
@@ -161,16 +225,16 @@ def site_noise(pages: DataFrame, low: float = LOW, least: int = PAGES) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, str, str, bool]] = []
+            rows: list[tuple[str, int, str, bool]] = []
             for h, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found, children = blocks(x)
-                seen = {(p, t) for p, t, _, _ in found}
-                rows += [(h, p, t, False) for p, t in seen] + [(h, p, ">".join(children.get(p, ())), True) for p in {p for p, _ in seen}]
+                read = Page(x)
+                seen = {(p, t) for p, t, _, _ in read.found}
+                rows += [(h, p, t, False) for p, t in seen] + [(h, p, ">".join(read.children.get(p, ())), True) for p in {p for p, _ in seen}]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "path", "value", "page"])
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, path string, value string, page boolean")
+    seen = pages.select("host", "html").mapInArrow(run, "host string, path long, value string, page boolean")
     count = seen.groupBy("host", "path", F.xxhash64("value").alias("k"), "page").count()
     # A row of `page` for each page that has the node, its value the node's presentation; the others are its texts.
     m = F.sum(F.when(F.col("page"), F.col("count")))
@@ -183,17 +247,19 @@ def site_noise(pages: DataFrame, low: float = LOW, least: int = PAGES) -> DataFr
 def main_text(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars."""
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(*(F.col(f"`{c}`") for c in names), F.coalesce(host_of("url"), F.lit("")).alias("__host"))
-    noise = site_noise(rows.select(F.col("__host").alias("host"), F.coalesce("html", F.lit("")).alias("html")))
-    by_host = stage(noise.groupBy("host").agg(F.collect_set("path").alias("__noise")), "op7-noise")  # a site's styles, not its pages
+    own = {x: free(x, pages.columns) for x in ("host", "noise", "h")}
+    rows = pages.select(*(F.col(f"`{c}`") for c in names), F.coalesce(host_of("url"), F.lit("")).alias(own["host"]))
+    noise = site_noise(rows.select(F.col(own["host"]).alias("host"), F.coalesce("html", F.lit("")).alias("html")))
+    by_host = stage(noise.groupBy("host").agg(F.collect_set("path").alias(own["noise"])), "op7-noise")  # 8 bytes for each style that recurs on a site
 
     @F.pandas_udf("string")
     def extract(html: pd.Series, noise: pd.Series) -> pd.Series:
         out = ["\n".join(kept(page, set(low) if low is not None else set())) for page, low in zip(html, noise, strict=True)]
         return pd.Series(out, dtype=object)
 
-    joined = rows.join(by_host.withColumnRenamed("host", "__h"), F.col("__host") == F.col("__h"), "left").drop("__h")
-    out = joined.withColumn("text", extract(F.coalesce("html", F.lit("")), "__noise")).drop("__host", "__noise")
+    joined = rows.join(by_host.withColumnRenamed("host", own["h"]), F.col(own["host"]) == F.col(own["h"]), "left")
+    text = extract(F.coalesce("html", F.lit("")), own["noise"])
+    out = joined.select(*(F.col(f"`{c}`") for c in names), text.alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
