@@ -5,8 +5,9 @@ others by weight until no target is above its cap. Sorted by cap per weight, the
 sums over the sources give the final water level without a loop.
 
 A source's ratio of target to size is a number of whole repetitions for all its documents and a fraction of one more. The
-fraction is sampled by a seeded hash of doc_id: documents are taken in hash order until the target is met. A histogram over
-the hash finds the place where that happens, so only 1/4096 of a source is ever sorted.
+fraction is sampled by a seeded hash of doc_id: documents are taken in hash order until the target is met. Two histograms over
+the hash, one within the other, find the place where that happens, so of a source only 1 in 2**24 is sorted. The plan has a row
+per source and is made in one task.
 
 Defined results: a null or empty text has size 0 and is taken 0 times over in words. Null is a source of its own, the last
 one. Rows that share a doc_id share their hash and so their repetitions. If there are no words, all targets are 0.
@@ -47,20 +48,22 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3,
     src = stage(src.select("source", "source_size", "target", whole.cast("long").alias("whole")), "op8-sources")
 
     more = F.col("target") - F.col("whole") * F.col("source_size")
-    bucket = F.shiftright(place(seed), 52)
-    hist = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    run = Window.partitionBy("source").orderBy("bucket")
-    hist = hist.withColumns({"upto": F.sum("n").over(run)}).withColumnRenamed("source", "__s")
-    at = hist.join(src, F.col("__s").eqNullSafe(F.col("source"))).where(F.col("upto") > more)
-    at = at.groupBy("__s").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), more.alias("more")), "bucket").alias("x")).select("__s", "x.*")
-    at = stage(at, "op8-cuts")
-
-    edge = sized.withColumns({"u": place(seed), "__b": bucket}).join(at, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("bucket")))
+    at, upper = src.select(F.col("source").alias("__s"), F.lit(0.0).alias("below"), more.alias("more")), None
+    for shift in (52, 40):  # the 4096th part of a source in which the target is met, then the 4096th part of that
+        rows = sized.withColumn("bucket", F.shiftright(place(seed), shift))
+        if upper is not None:
+            rows = rows.join(at.select(F.col("__s").alias("__t"), F.col("bucket").alias("__up")), F.col("source").eqNullSafe(F.col("__t")) & (F.shiftright("bucket", 12) == F.col("__up")))
+        hist = rows.groupBy(F.col("source").alias("__t"), "bucket").agg(F.sum("size").alias("n")).join(at.drop("bucket"), F.col("__s").eqNullSafe(F.col("__t")))
+        hist = hist.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("__s").orderBy("bucket"))).where(F.col("upto") > F.col("more"))
+        at = hist.groupBy("__s").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "more"), "bucket").alias("x")).select("__s", "x.*")
+        at = upper = stage(at, "op8-cuts")
+
+    edge = sized.withColumns({"u": place(seed), "__b": F.shiftright(place(seed), 40)}).join(at, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("bucket")))
     edge = edge.withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("__s").orderBy("u")))
     inside = edge.where(F.col("upto") - F.col("size") / 2 <= F.col("more")).groupBy("__s").agg(F.max("u").alias("inside"))
-    lowest = F.shiftleft(F.col("bucket").cast("long"), 52) - 1  # just below the bucket
+    lowest = F.shiftleft(F.col("bucket").cast("long"), 40) - 1  # just below the bucket
     cuts = at.select("__s", "bucket", "more").join(inside.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left")
-    cuts = cuts.select("__s", F.when(F.col("more") > 0, F.coalesce("inside", F.when(F.col("bucket") > -2048, lowest))).alias("cut"))
+    cuts = cuts.select("__s", F.when(F.col("more") > 0, F.coalesce("inside", F.when(F.col("bucket") > -(1 << 23), lowest))).alias("cut"))
     return stage(src.join(cuts, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"), "op8-plan")
 
 
