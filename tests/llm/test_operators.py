@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stringloom.llm import op1_substring, op2_cover_tree, op3_quality, op4_suffix, op5_packing, op6_minhash, op7_html, op8_mixing, op9_exact_dedup, op10_lm_score
 
@@ -284,8 +285,6 @@ def test_op2_prunes(spark, leaf):
     assert link.sum() > 10_000
     got = {r.vec_id: (r.n_links, r.component_id) for r in op2_cover_tree.near_vectors(df, leaf=leaf).collect()}
     assert got == {i: (int(link[i].sum()), int(comp[i])) for i in range(len(v))}
-    from pyspark.sql import functions as F
-
     classes = op2_cover_tree.vectors(df.withColumn("label", F.col("label").cast("string"))).select(F.col("vec_id").alias("id"), F.concat_ws(":", "label", "size").alias("root"), "size", "v", F.lit(1).cast("long").alias("copies"))
     done = op2_cover_tree.found_links(classes, 0.93, leaf).agg(F.sum("compared"), F.sum("pairs")).first()
     assert done[0] < len(v) ** 2 / 4 * 0.5
@@ -348,6 +347,12 @@ def test_op7_tree_decides_inside_articles(spark):
 @pytest.mark.parametrize(
     "page, want",
     [
+        ("<article><p title=\"abc>lost? no</p><p>b</p></article>", "lost? no\nb"),
+        ("<article><p title='a>b' class=x>it's</p><p>5 < 6 > 4</p></article>", "it's\n5 < 6 > 4"),
+        ("<title>never ends <article><p>text</p></article>", "text"),
+        ("<article><svg><p>a</p></article><script>b", "a"),
+        ("<article><p>a<!-- b </p></article>", "a"),
+        ("<p>a</div></nav><p>b", "a\nb"),
         ("<div class='no-sidebar has-comments'><p>Main text</p></div>", "Main text"),
         ("<article class='post has-comments'><div class='post-header'><h1>Title</h1></div><p>Main text</p></article>", "Title\nMain text"),
         ("<form><nav>menu</nav><p>All of the main text is in a form</p></form>", "All of the main text is in a form"),
@@ -361,6 +366,54 @@ def test_op7_names(page, want):
     assert "\n".join(op7_html.kept(page, set())) == want
 
 
+def test_op7_long_and_odd_pages():
+    """Time grows with the length, whatever is unbalanced."""
+    import time
+
+    began = time.time()
+    for x in ("<p " * 100_000 + '"', '<p a="' * 200_000, "<div>" * 200_000 + "</p>" * 200_000, "<nav>x" * 50_000, "<title>" * 200_000, "<!" * 300_000, "<p>some text of a long page</p>" * 160_000):
+        op7_html.kept(x, set())
+    assert time.time() - began < 60
+
+
+def test_op7_clashing_columns_and_repeats(spark):
+    rows = [(1, "http://a.example/1", "<p>one</p>", "h", "t", 1.0), (1, "http://a.example/1", "<p>one</p>", "h", "t", 1.0), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, `__host` string, host string, `a.b` double").withColumns({"noise": F.lit(1), "text": F.lit("x")})
+    got = op7_html.main_text(df)
+    assert sorted(got.columns) == sorted([*df.columns, "n_chars"])
+    assert sorted(str((r.text, r.host, r["a.b"])) for r in got.collect()) == sorted(map(str, [("one", "t", 1.0), ("one", "t", 1.0), ("", None, None)]))
+
+
+def test_op7_tree_against_brute_force(spark):
+    """The noise of a site is what entropies, computed in plain Python, call so."""
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(6)
+    pages = []
+    for h in range(3):
+        for i in range(15):
+            lines = "".join(f"<p class=c{rng.randrange(3)}>{rng.choice(['same', f'own {i} {h}', 'other'])}</p>" for _ in range(rng.randrange(1, 6)))
+            pages.append((f"h{h}", f"<body><div class=a>fixed</div><article>{lines}<ul>{'<li>x</li>' * rng.randrange(4)}</ul></article></body>"))
+    texts, styles, on = defaultdict(Counter), defaultdict(Counter), Counter()
+    for h, x in pages:
+        read = op7_html.Page(x)
+        seen = {(p, t) for p, t, _, _ in read.found}
+        for p, t in seen:
+            texts[h, p][t] += 1
+        for p in {p for p, _ in seen}:
+            styles[h, p][tuple(read.children.get(p, ()))] += 1
+            on[h, p] += 1
+
+    def entropy(c, m):
+        n = sum(c.values())
+        return 1 - sum(x * math.log(x) for x in c.values()) / n / math.log(m)
+
+    want = {k for k, m in on.items() if m >= 2 and max(entropy(texts[k], m), entropy(styles[k], m)) < op7_html.LOW}
+    got = {tuple(r) for r in op7_html.site_noise(spark.createDataFrame(pages, "host string, html string")).collect()}
+    assert got == want and want
+
+
 def test_op10(spark):
     docs = spark.createDataFrame([(i, "red green blue red" if i % 2 else "one two three one") for i in range(40)] + [(90, None), (91, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in op10_lm_score.lm_scores(docs, docs.where("doc_id % 2 = 1 AND doc_id < 20")).collect()}
