@@ -8,8 +8,10 @@ with the one before in suffix order are sampled; between samples both are known,
 position to the next. So matching statistics stream over the text from the samples alone: every position's match of at
 least `width` bytes, and by the rows that such matches join, the first place where each string occurs.
 
-An anchor with over HEAVY pieces is not indexed in one task: its pieces are counted in Spark, and the strings of those
-that differ are compared by 128-bit hashes.
+An anchor with over HEAVY pieces is not indexed in one task as it is: equal pieces are merged in Spark, and each is cut in two at
+the anchor: the strings that go on after it for half of what they have besides it, and those that begin as far before it. The
+anchor and these bytes are a finer anchor, which equal strings share as well. That is repeated for those that still have over
+HEAVY different pieces, until the anchor is the whole string, and all meet in the same index.
 
 Defined results: a null text is empty. A null doc_id counts as larger than all others. Rows that share doc_id and text get
 the same result; of different texts with one doc_id the one with the smaller hash counts as earlier.
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, stage, table, text_rows
 from .op1_substring import SHIFT, Units, check_width, first_of_text, repeated_anchors, runs_of, with_runs
-from .textnp import anchors, arrow_text, bytes_hash, covered, signed, window_hash
+from .textnp import anchors, arrow_text, bytes_hash, covered, signed
 
-GRAM, WIDTH, HEAVY, LARGE = 24, 100, 16_384, 10_000
+GRAM, WIDTH, HEAVY, LARGE = 24, 100, 4096, 10_000
 #: Bytes of text in one index.
 TEXT = 1_200_000
 
@@ -208,26 +210,52 @@ def indexed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield answer(pa.concat_tables(held))
 
 
-def heavy_answers(heavy: DataFrame, width: int) -> DataFrame:
-    """As indexed(), for pieces of anchors that have too many of them for one index."""
-    first = heavy.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "h1", "start")).alias("x")).select("anchor", "piece", "x.*")
+def merged(pieces: DataFrame) -> DataFrame:
+    """The first of equal pieces of an anchor."""
+    return pieces.groupBy("anchor", "piece", "gram", "place").agg(F.min(F.struct("doc_id", "h1", "start")).alias("x")).select("anchor", "piece", "gram", "place", "x.*")
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                piece = np.frombuffer(batch.column("piece")[i].as_py(), np.uint8)
-                a, b = window_hash(piece.astype(np.uint64) + np.uint64(1), width), window_hash((piece.astype(np.uint64) + np.uint64(7)) ** 3, width)
-                n = len(a)
-                same = [pa.array(np.full(n, batch.column(c)[i].as_py())) for c in ("doc_id", "h1", "start")]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), *same, pa.array(np.arange(n))], ["a", "b", "doc_id", "h1", "start", "nth"])
 
-    each = first.mapInArrow(strings, "a long, b long, doc_id long, h1 long, start long, nth long")
-    best = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h1", (F.col("start") + F.col("nth")).alias("at"))).alias("best"))
-    own = F.struct("doc_id", "h1", (F.col("start") + F.col("nth")).alias("at"))
-    flags = each.join(best, ["a", "b"]).withColumn("bit", F.when(F.col("best") < own, "01").otherwise("00"))
-    parts = F.array_sort(F.collect_list(F.struct("nth", "bit")))
-    again = F.unhex(F.array_join(F.transform(parts, lambda x: x["bit"]), ""))
-    return flags.groupBy("doc_id", "h1", "start").agg(again.alias("again"))
+def finer(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces cut in two by finer anchors. A piece's strings all hold the `gram` bytes from `place`."""
+    names = [*PIECE, "gram", "place"]
+    for batch in batches:
+        out = []
+        for anchor, piece, doc, h1, start, gram, place in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            n = len(piece) - width + 1
+            more = (width - gram + 1) // 2
+            late = max(0, min(n, place + gram + more - width))  # strings from here on have `more` bytes after the anchor
+            for a, b, low, high in ((late, n, place, place + gram + more), (0, late, place - more, place + gram)):
+                if a < b:
+                    key = int.from_bytes(hashlib.blake2b(piece[low:high] + bytes([low < place]), digest_size=8).digest(), "big", signed=True)
+                    out.append((key, piece[a : b + width - 1], doc, h1, start + a, high - low, low - a))
+        if out:
+            kinds = [*PIECE_TYPES, pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def located(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces with the place of their anchor in them."""
+    for batch in batches:
+        place = []
+        for raw, anchor in zip(batch.column("piece").to_pylist(), batch.column("anchor").to_pylist(), strict=True):
+            n = len(raw) - width + 1
+            place.append(n - 1 + int(np.argmax(signed(bytes_hash(np.frombuffer(raw, np.uint8)))[n - 1 : width - GRAM + 1] == anchor)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PIECE), pa.array([GRAM] * len(place), pa.int32()), pa.array(place, pa.int32())], [*PIECE, "gram", "place"])
+
+
+def refined(heavy: DataFrame, width: int, most: int) -> DataFrame:
+    """The pieces of heavy anchors by finer ones, none of which has over `most` different pieces; equal ones are merged."""
+    schema = "anchor long, piece binary, doc_id long, h1 long, start long, gram int, place int"
+    rows = stage(merged(heavy.mapInArrow(lambda b: located(b, width), schema)), "op4-heavy")
+    done = None
+    while True:
+        large = stage(rows.groupBy("anchor").count().where(F.col("count") > most).where("anchor IS NOT NULL"), "op4-large")
+        few = rows.join(large, "anchor", "left_anti")
+        done = few if done is None else done.unionByName(few)
+        if large.isEmpty():
+            return done.select(*PIECE)
+        # the anchor is the whole string at last, and then each has one piece
+        rows = stage(merged(rows.join(large, "anchor", "left_semi").mapInArrow(lambda b: finer(b, width), schema)), "op4-heavy")
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> DataFrame:
@@ -241,19 +269,16 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> Dat
     texts = rows.join(info, (F.col("doc_id") == F.col("d")) & (F.col("h1") == F.col("g")) & (F.col("h2").bitwiseXOR(F.col("other")) == 0), "left").drop("d", "g", "other")
     pieces = texts.where("found IS NOT NULL").select("doc_id", "h1", "text", "found").mapInArrow(lambda b: piece_rows(b, width), "anchor long, piece binary, doc_id long, h1 long, start long")
     large = stage(found.groupBy("anchor").count().where(F.col("count") > heavy), "op4-large")
-    if large.isEmpty():
-        light, answers = pieces, []
-    else:
+    if not large.isEmpty():
         # at most LARGE rows; an anchor that is not among them has less than one row in LARGE, so the others are joined by shuffle
         hot = large.orderBy(F.desc("count"), "anchor").limit(LARGE).select("anchor", F.lit(True).alias("heavy"))
         marked = pieces.join(F.broadcast(hot), "anchor", "left")
         if large.count() > LARGE:
             others = large.select("anchor", F.lit(True).alias("other")).hint("merge")
             marked = marked.join(others, "anchor", "left").withColumn("heavy", F.coalesce("heavy", "other")).drop("other")
-        light, answers = marked.where("heavy IS NULL").drop("heavy"), [heavy_answers(marked.where("heavy").drop("heavy"), width)]
-    light = light.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h1", "start")
-    answers = [light.mapInArrow(lambda b: indexed(b, width), "doc_id long, h1 long, start long, again binary"), *answers]
-    told = answers[0] if len(answers) == 1 else answers[0].unionByName(answers[1])
+        pieces = marked.where("heavy IS NULL").drop("heavy").unionByName(refined(marked.where("heavy").drop("heavy"), width, heavy))
+    pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h1", "start")
+    told = pieces.mapInArrow(lambda b: indexed(b, width), "doc_id long, h1 long, start long, again binary")
     told = told.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", "again")).alias("firsts"))
     done = texts.join(told, ["doc_id", "h1"], "left").select("doc_id", "text", "found", "head", "firsts")
 
@@ -267,12 +292,12 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> Dat
                     begin = np.arange(max(0, n - width + 1))
                 else:
                     at = runs_of(found[i])
-                    again = {x["start"]: x["again"] for x in firsts[i].as_py()} if firsts[i].is_valid else {}
-                    parts = []
+                    gone = np.zeros(n + 1, bool)  # strings of a run go, but those of the first of equal pieces that are not seen before
                     for start, count in zip((at >> SHIFT).tolist(), (at & ((1 << SHIFT) - 1)).tolist(), strict=True):
-                        flags = again.get(start)  # None: not the first of equal pieces
-                        parts.append(np.arange(start, start + count) if flags is None else start + np.flatnonzero(np.frombuffer(flags, np.uint8)))
-                    begin = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                        gone[start : start + count] = True
+                    for x in firsts[i].as_py() if firsts[i].is_valid else ():
+                        gone[x["start"] : x["start"] + len(x["again"])] = np.frombuffer(x["again"], np.uint8) > 0
+                    begin = np.flatnonzero(gone)
                 removed = covered(n, begin, begin + width)
                 spans = int((np.diff(np.concatenate([[False], removed]).astype(np.int8)) == 1).sum())
                 out.append((n, int(removed.sum()), spans, hashlib.sha256(buf[off[i] : off[i + 1]][~removed].tobytes()).hexdigest()))
