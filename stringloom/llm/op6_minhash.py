@@ -203,12 +203,12 @@ def held_sets(split: DataFrame, docs: DataFrame, sketches: DataFrame, size: int)
         for batch in batches:
             buf, off = arrow_text(batch.column(1))
             for i, j in slices(off):
-                h, o, _ = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                h, o, sequence = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 sets = [h[x:y].tobytes() if y - x <= LONG else None for x, y in zip(o[:-1], o[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sequence[:, 0]), pa.array(sequence[:, 1]), pa.array(sets, pa.binary())], ["doc_id", "s1", "s2", "set"])
 
-    found = texts.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
-    return sketches.select("doc_id", "n", "registers").join(found, "doc_id")
+    found = texts.mapInArrow(run, "doc_id long, s1 long, s2 long, set binary").dropDuplicates(["doc_id", "s1", "s2"])
+    return sketches.select("doc_id", "s1", "s2", "n", "registers").join(found, ["doc_id", "s1", "s2"]).drop("s1", "s2")
 
 
 def across(split: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, slack: fl
     sketches = stage(sketch(docs, size), "op6-sketches")
     filled = sketches.where("n > 0 AND doc_id IS NOT NULL")
     classes = stage(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "op6-classes")
-    reps = stage(filled.join(classes, ["s1", "s2"]).where("doc_id = rep").select("doc_id", "n", "registers").dropDuplicates(["doc_id"]), "op6-reps")
+    reps = stage(filled.join(classes, ["s1", "s2"]).where("doc_id = rep").select("doc_id", "n", "registers", "s1", "s2").dropDuplicates(["doc_id", "s1", "s2"]), "op6-reps")
 
     band = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("registers", k * ROWS * 2 + 1, ROWS * 2)) for k in range(BANDS)))).alias("key")
     rows = reps.select("doc_id", band)
