@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
@@ -94,18 +94,24 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("label"), pa.array(ks, pa.binary()), pa.array(vs, pa.binary())], ["turn", "label", "k", "v"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32), y) for b in batches for k, v, y in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), b.column("label").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([train(x for _ in range(EPOCHS) for x in held).tobytes()], pa.binary())], ["model"])
+        seen = ((np.frombuffer(k, np.int32), np.frombuffer(v, np.float32), y) for b in batches for k, v, y in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), b.column("label").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([train(seen).tobytes()], pa.binary())], ["model"])
 
     ready = texts.mapInArrow(sparse, "turn long, label int, k binary, v binary")
-    # one task, of at most `most` rows
-    model = ready.repartition(1).sortWithinPartitions("turn", "label").mapInArrow(fit, "model binary").first()
+    ready = ready.withColumn("epoch", F.explode(F.array(*(F.lit(k) for k in range(EPOCHS)))))
+    # one task, which streams over at most `most` rows, once for each epoch, and holds the weights only
+    model = ready.repartition(1).sortWithinPartitions("epoch", "turn", "label", "k").mapInArrow(fit, "model binary").first()
     return np.frombuffer(model[0], np.float32) if model else np.zeros((1 << LOG2) + 1, np.float32)
 
 
 def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
     """docs with score and predicted; columns of those names are replaced."""
     docs = docs.drop("score", "predicted")
+    return docs.withColumn("score", scoring(docs, model)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def scoring(docs: DataFrame, model: np.ndarray) -> Column:
+    """The score of a row of docs by its text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
 
     @F.pandas_udf("double")
@@ -121,7 +127,7 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
             out[i:j] = np.bincount(row, w[k], j - i) * (SCALE / np.maximum(n, 1)) + float(w[-1])
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn("score", scores(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return scores(F.coalesce("text", F.lit("")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
