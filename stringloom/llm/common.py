@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = (1 << 63) - 1
+#: Tables written so far, for sweep().
+STAGED: list[str] = []
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,9 +41,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN, clean)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that this session's operators wrote for themselves. Results that were not written yet need them."""
+    for path in STAGED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    STAGED.clear()
+
+
+def renamed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text", "source")) -> tuple[DataFrame, dict[str, str]]:
+    """docs with other columns than `keep` under names that no operator uses, and those names by the ones to give back."""
+    names = {x: x if x in keep else f"column_{i}_of_input" for i, x in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{x}`").alias(y) for x, y in names.items())), names
+
+
+def given(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*(F.col(y).alias(x) for x, y in names.items()))
+
+
 def free(name: str, taken: list[str]) -> str:
     """name, with marks in front until no column has it."""
     lower = {x.lower() for x in taken}

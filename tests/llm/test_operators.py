@@ -78,15 +78,25 @@ def test_op4(docs, heavy):
     assert got == want
 
 
-def test_op4_every_heavy_anchor(docs, monkeypatch):
-    """Also those that the broadcast list has no room for."""
-    seen, real = [], op4_suffix.heavy_answers
-    monkeypatch.setattr(op4_suffix, "LARGE", 2)
-    monkeypatch.setattr(op4_suffix, "heavy_answers", lambda rows, width: (seen.append(rows.select("anchor").distinct().count()), real(rows, width))[1])
-    got = sorted(map(tuple, op4_suffix.suffix_dedup(docs, heavy=3).collect()))
-    assert seen and seen[0] > 2
-    monkeypatch.setattr(op4_suffix, "LARGE", 10_000)
-    assert got == sorted(map(tuple, op4_suffix.suffix_dedup(docs, heavy=3).collect())) and seen[0] == seen[1]
+@pytest.mark.parametrize("large", [2, 10_000])
+def test_op4_every_heavy_anchor(spark, monkeypatch, large):
+    """Anchors that very many different pieces share go through finer ones to the same index."""
+    monkeypatch.setattr(op4_suffix, "LARGE", large)
+    rng = random.Random(3)
+    core = "".join(rng.choices("abcdef", k=40))
+    texts = ["".join(rng.choices("uvwxyz", k=80)) + core + "".join(rng.choices("uvwxyz", k=80)) for _ in range(20)]
+    texts += [x[:130] + "".join(rng.choices("ab", k=70)) for x in texts[:10]] + [x[30:] for x in texts[5:15]] + ["".join(rng.choices("ab", k=50)) + x[60:] for x in texts[:12]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        b, gone = t.encode(), np.zeros(len(t), bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        want[i] = int(gone.sum())
+    got = {r.doc_id: r.n_removed for r in op4_suffix.suffix_dedup(docs, heavy=3).collect()}
+    assert got == want and sum(want.values()) > 1000
 
 
 @pytest.mark.parametrize("width", [300, 400])
@@ -143,6 +153,15 @@ def test_op6(docs, odd):
     assert len(rows) == len(got) + 2 and [r.kept for r in rows if r.doc_id is None] == [True]
 
 
+def test_op6_unlike_texts_of_one_id(spark):
+    """A doc_id of two texts has the links of both."""
+    say = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " more"), (3, say("b") + " more"), (4, say("c"))]
+    for _ in range(2):
+        got = sorted((r.doc_id, r.component_id) for r in op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 @pytest.mark.parametrize(("block", "long"), [(2, 1024), (4096, -1), (2, 40)])
 def test_op6_blocks(docs, monkeypatch, block, long):
     monkeypatch.setattr(op6_minhash, "BLOCK", block)
