@@ -144,9 +144,23 @@ class TypedFilter:
         return run(payload)
 
 
-def matching(df, flt: TypedFilter | None, fields: dict[str, str]):
-    """The rows whose payload matches; a malformed payload among them fails the query."""
-    if not flt or not flt.terms:
-        return df
-    checked = df.withColumn("__v", flt.verdict(F.col("payload"), fields))
-    return checked.where(F.when(F.col("__v") < 0, F.raise_error(F.lit("malformed payload"))).otherwise(F.col("__v") == 1)).drop("__v")
+def evaluated(df, flt: TypedFilter, fields: dict[str, str]):
+    """The rows with flag 1 where the payload matches and 0 where not; a malformed payload among them fails the query."""
+    checked = df.withColumn("flag", flt.verdict(F.col("payload"), fields))
+    return checked.withColumn("flag", F.when(F.col("flag") < 0, F.raise_error(F.lit("malformed payload")).cast("int")).otherwise(F.col("flag")))
+
+
+def string_filter(wanted: dict[str, str]) -> TypedFilter:
+    """Names that must each equal a string."""
+    return TypedFilter.parse(json.dumps(wanted)) if wanted else TypedFilter()
+
+
+def flag_filter(flags: list[str]) -> TypedFilter:
+    """string_filter of name=value flags; the first "=" divides, and a name comes once."""
+    wanted: dict[str, str] = {}
+    for flag in flags:
+        name, equals, value = flag.partition("=")
+        if not equals or not name or name in wanted:
+            raise FilterError(f"{flag!r} is not name=value of a new name")
+        wanted[name] = value
+    return string_filter(wanted)

@@ -1,4 +1,5 @@
-"""Retrieval as relational plans: queries (query_id, q) against entries (ord, id, keys, payload)."""
+"""Retrieval as relational plans: queries (query_id, q, and optionally threshold and topk) against lists of entries
+(ord, id, keys, payload) that are held as an index, or as a base with an overlay and tombstones."""
 
 from __future__ import annotations
 
@@ -7,16 +8,16 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.filters import TypedFilter, matching
+from ..functions.filters import TypedFilter, evaluated
 from ..functions.text import analyze, grams, parents, steps_of
 
-#: Weights are integers of this scale, so sums don't depend on their order.
-SCALE = 1_000_000_000
+#: Weights are integers of this scale, so sums don't depend on their order. A gram's code is its weight, then its number.
+SCALE, NUMBER = 1_000_000_000, 28
 
 
 @dataclass(frozen=True)
 class ListConfig:
-    """Resolved settings of a list. threshold None: the mode's default; negative: no floor."""
+    """Settings of a list. A threshold or topk of 0 or None is the mode's default; a negative one means none."""
 
     steps: str | tuple[str, ...] = "free-text"
     mode: str = "ngram"
@@ -26,6 +27,8 @@ class ListConfig:
     topk: int | None = None
     fallback: str = ""
     fields: dict[str, str] = field(default_factory=dict)
+    golden: tuple[dict, ...] = ()
+    overlay_auto_compact: int = 0
 
     def __post_init__(self):
         steps_of(self.steps)
@@ -35,20 +38,26 @@ class ListConfig:
             raise ValueError("gram sizes are 1 to 16")
         if self.threshold is not None and not self.threshold <= 1:
             raise ValueError("threshold is at most 1")
-        if self.topk is not None and not 0 <= self.topk <= 1 << 20:
-            raise ValueError("topk is 0 to 2**20")
+        if self.topk is not None and not self.topk <= 1 << 20:
+            raise ValueError("topk is at most 2**20")
         if self.fallback not in ("", "parent_domain") or self.fallback and self.mode != "exact":
             raise ValueError("fallback is parent_domain, of exact lists only")
-        if len(self.fields) > 8:
-            raise ValueError("at most 8 filterable fields")
+        if len(self.fields) > 8 or any(not 0 < len(n) <= 128 or not 0 < len(p) <= 256 for n, p in self.fields.items()):
+            raise ValueError("at most 8 filterable fields, of names up to 128 and paths up to 256 characters")
+        if self.overlay_auto_compact < 0:
+            raise ValueError("overlay_auto_compact is at least 0")
+        for probe in self.golden:
+            if not probe.get("q") or bool(probe.get("expect_id")) == bool(probe.get("absent")) or not 0 <= probe.get("min_score", 0) <= 100:
+                raise ValueError("a golden probe has q and either expect_id or absent")
 
     @property
     def floor(self) -> float:
-        return (0.6 if self.mode == "ngram" else 0.0) if self.threshold is None else self.threshold
+        return max(self.threshold, 0.0) if self.threshold else 0.6 if self.mode == "ngram" else 0.0
 
     @property
     def k(self) -> int:
-        return (100 if self.mode == "ngram" else 0) if self.topk is None else self.topk
+        """0: unlimited."""
+        return max(self.topk, 0) if self.topk else 100 if self.mode == "ngram" else 0
 
     def but(self, **changes) -> ListConfig:
         return replace(self, **changes)
@@ -67,80 +76,200 @@ def gram_stats(postings: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("gram", "df", F.round(F.ln(1 + F.col("n") / F.col("df")) * SCALE).cast("long").alias("weight"))  # total has one row
 
 
-def query_grams(queries: DataFrame, c: ListConfig) -> DataFrame:
-    q = queries.select("query_id", F.explode(grams(analyze(F.col("q"), c.steps), c.sizes, c.strip_spaces)).alias("gram"))
-    return q.distinct()
-
-
-def scored(queries: DataFrame, postings: DataFrame, c: ListConfig, prefix: bool = True) -> DataFrame:
-    """(query_id, ord, score): entries at or above the floor. With prefix, only grams that an entry at the floor cannot all
-    lack produce candidates: the rarest ones, until the others together stay below it."""
-    known = query_grams(queries, c).join(gram_stats(postings), "gram")
-    known = known.withColumn("most", F.sum("weight").over(Window.partitionBy("query_id")))
-    floor = F.col("most") * c.floor if c.floor > 0 else F.lit(0.0)
-    if prefix and c.floor > 0:
-        run = Window.partitionBy("query_id").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
-        heads = known.withColumn("before", F.coalesce(F.sum("weight").over(run), F.lit(0))).where(F.col("before") <= F.col("most") - floor)
-        found = heads.join(postings, "gram").select("query_id", "ord").distinct()
-        hits = found.join(known.select("query_id", "gram", "weight", "most"), "query_id").join(postings, ["gram", "ord"])
+@dataclass(frozen=True)
+class Segment:
+    """Entries with what their lookup needs. ngram: stats (gram, df, weight, code), postings (code, ord) and sets (ord, codes);
+    exact: keys (a, ord, key)."""
+
+    entries: DataFrame
+    stats: DataFrame | None = None
+    postings: DataFrame | None = None
+    sets: DataFrame | None = None
+    keys: DataFrame | None = None
+
+    @staticmethod
+    def of(entries: DataFrame, c: ListConfig) -> Segment:
+        """Not written: everything is derived from the entries in each plan. operators.index writes it once."""
+        if c.mode == "exact":
+            return Segment(entries, keys=exact_keys(entries, c))
+        return Segment(entries, *gram_tables(entry_grams(entries, c)))
+
+
+def gram_tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """stats, postings and sets of (ord, gram). Grams of one weight are numbered."""
+    stats = gram_stats(found)
+    part = F.pmod(F.xxhash64("gram"), F.lit(256))  # most grams are rare, and so of one weight
+    number = (F.row_number().over(Window.partitionBy("weight", part).orderBy("gram")) - 1) * 256 + part
+    checked = F.when(number < 1 << NUMBER, number).otherwise(F.raise_error(F.lit("too many grams of one weight")).cast("long"))
+    stats = stats.withColumn("code", F.shiftleft("weight", NUMBER) + checked)
+    postings = found.join(stats.select("gram", "code"), "gram").select("code", "ord")
+    return stats, postings, postings.groupBy("ord").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+
+
+def asked(queries: DataFrame, c: ListConfig) -> DataFrame:
+    """(query_id, a, floor, k) of queries with their own settings or the list's; empty ones have no results."""
+    own = {x.lower() for x in queries.columns}
+    threshold = F.coalesce(F.nullif(F.col("threshold").cast("double"), F.lit(0.0)), F.lit(c.floor)) if "threshold" in own else F.lit(float(c.floor))
+    topk = F.coalesce(F.nullif(F.col("topk").cast("int"), F.lit(0)), F.lit(c.k)) if "topk" in own else F.lit(c.k)
+    out = queries.select("query_id", analyze(F.col("q"), c.steps).alias("a"), F.greatest(threshold, F.lit(0.0)).alias("floor"), F.greatest(topk, F.lit(0)).alias("k"))
+    return out.where("a != ''")
+
+
+def lookups(q: DataFrame) -> DataFrame:
+    """(qk, a, floor, k): each distinct lookup once, however many queries ask it."""
+    return q.select(lookup_key(), "a", "floor", "k").distinct()
+
+
+def lookup_key() -> Column:
+    return F.concat_ws("\0", F.col("floor").cast("string"), F.col("k").cast("string"), "a").alias("qk")
+
+
+def scored(looked: DataFrame, s: Segment, c: ListConfig, prefix: bool = True) -> DataFrame:
+    """(qk, ord, score, k): entries at or above the floor. With prefix, only grams that an entry at the floor cannot all lack
+    produce candidates: the rarest ones, until the others together stay below it; a candidate's score is then that of the codes
+    its entry shares with the lookup."""
+    q = looked.select("qk", "floor", "k", F.explode(grams(F.col("a"), c.sizes, c.strip_spaces)).alias("gram"))
+    known = q.join(s.stats.select("gram", "df", "weight", "code"), "gram")
+    known = known.withColumn("most", F.sum("weight").over(Window.partitionBy("qk")))
+    least = F.col("most") * F.col("floor")
+    if prefix:
+        run = Window.partitionBy("qk").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
+        heads = known.withColumn("before", F.coalesce(F.sum("weight").over(run), F.lit(0))).where((F.col("before") <= F.col("most") - least) | (F.col("floor") <= 0))
+        found = heads.select("qk", "code").join(s.postings, "code").select("qk", "ord").distinct()
+        wanted = known.groupBy("qk").agg(F.collect_list("code").alias("wanted"), F.first("most").alias("most"), F.first("floor").alias("floor"), F.first("k").alias("k"))
+        both = found.join(wanted, "qk").join(s.sets, "ord")
+        got = F.aggregate(F.array_intersect("codes", "wanted"), F.lit(0).cast("long"), lambda n, x: n + F.shiftright(x, NUMBER))
+        sums = both.select("qk", "ord", got.alias("got"), "most", "floor", "k")
     else:
-        hits = known.join(postings, "gram")
-    sums = hits.groupBy("query_id", "ord").agg(F.sum("weight").alias("got"), F.first("most").alias("most")).where(F.col("got") >= floor)
-    return sums.select("query_id", "ord", F.round(100.0 * F.col("got") / F.col("most")).alias("score"))
+        sums = known.join(s.postings, "code").groupBy("qk", "ord").agg(F.sum("weight").alias("got"), F.first("most").alias("most"), F.first("floor").alias("floor"), F.first("k").alias("k"))
+    return sums.where(F.col("got") >= least).select("qk", "ord", F.round(100.0 * F.col("got") / F.col("most")).alias("score"), "k")
 
 
 def cut(df: DataFrame, k: int | Column, *order: Column, name: str = "query_id") -> DataFrame:
     """The first k rows of each query; 0 keeps all."""
-    if isinstance(k, int) and not k:
-        return df
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+    if isinstance(k, int):
+        if not k:
+            return df
+        k = F.lit(k)
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(*order))).where((k <= 0) | (F.col("__n") <= k)).drop("__n")
+
+
+def attributed(hits: DataFrame, looked: DataFrame, c: ListConfig) -> DataFrame:
+    """hits with the key that shares most of the lookup's grams, the first of equal ones; a single key needs no look."""
+    q = looked.select("qk", grams(F.col("a"), c.sizes, c.strip_spaces).alias("qg"))
+    shared = lambda key, i: F.struct(F.size(F.array_intersect("qg", grams(analyze(key, c.steps), c.sizes, c.strip_spaces))).alias("n"), (-i).alias("i"), key.alias("key"))
+    best = F.when(F.size("keys") == 1, F.col("keys")[0]).otherwise(F.array_max(F.transform("keys", shared))["key"])
+    return hits.join(q, "qk").withColumn("key", best).drop("qg", "keys")
+
+
+def ngram_hits(looked: DataFrame, s: Segment, c: ListConfig, flt: TypedFilter | None, dead: DataFrame | None, prefix: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(qk, entry_id, score, keys, k) of a segment after its cut, and (qk, flag) of what a filter looked at. Unfiltered, the cut
+    is as much larger as there are tombstones and comes before they go; filtered, they and the filter come first."""
+    hits, order = scored(looked, s, c, prefix), (F.desc("score"), F.col("ord"))
+    names = s.entries.select("ord", F.col("id").alias("entry_id"), "keys", *[x for x in ("payload",) if x in s.entries.columns])
+    if flt and flt.terms:
+        hits = hits.join(names, "ord")
+        if dead is not None:
+            hits = hits.join(dead.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_anti")
+        looked_at = evaluated(hits, flt, c.fields)
+        return cut(looked_at.where("flag = 1"), F.col("k"), *order, name="qk").drop("flag"), looked_at.select("qk", "flag")
+    if dead is not None:
+        n = dead.select("id").distinct().agg(F.count(F.lit(1)).alias("__dead"))
+        hits = cut(hits.crossJoin(F.broadcast(n)), F.when(F.col("k") > 0, F.col("k") + F.col("__dead")).otherwise(0), *order, name="qk").drop("__dead")  # n has one row
+    else:
+        hits = cut(hits, F.col("k"), *order, name="qk")
+    hits = hits.join(names.drop("payload"), "ord")
+    if dead is not None:
+        hits = hits.join(dead.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_anti")
+    return hits, None
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A base, the entries put over it, and the ids of base entries that are deleted or superseded."""
+
+    base: Segment
+    overlay: Segment | None = None
+    dead: DataFrame | None = None
+
+    @property
+    def parts(self) -> list[tuple[Segment, DataFrame | None]]:
+        return [(self.base, self.dead)] + ([(self.overlay, None)] if self.overlay else [])
 
 
-def attributed(hits: DataFrame, queries: DataFrame, c: ListConfig) -> DataFrame:
-    """hits with the key that shares most of the query's grams, the first of equal ones."""
-    q = queries.select("query_id", grams(analyze(F.col("q"), c.steps), c.sizes, c.strip_spaces).alias("qg"))
-    keys = hits.join(q, "query_id").select("*", F.posexplode("keys").alias("pos", "key"))
-    shared = F.size(F.array_intersect("qg", grams(analyze(F.col("key"), c.steps), c.sizes, c.strip_spaces)))
-    best = keys.withColumn("shared", shared).groupBy("query_id", "entry_id").agg(F.max_by("key", F.struct("shared", -F.col("pos"))).alias("key"))
-    return hits.drop("keys").join(best, ["query_id", "entry_id"])
+def search(queries: DataFrame, at: Snapshot, c: ListConfig, flt: TypedFilter | None = None, prefix: bool = True, with_keys: bool = True) -> DataFrame:
+    """(query_id, entry_id, score, key). Weights are of a segment each: what they score is put together, never their postings."""
+    return answered(queries, at, c, flt, prefix, with_keys)[0]
+
+
+def answered(queries: DataFrame, at: Snapshot, c: ListConfig, flt: TypedFilter | None = None, prefix: bool = True, with_keys: bool = True) -> tuple[DataFrame, DataFrame]:
+    """search(), and (query_id, evaluated, rejected): how many entries a filter looked at and refused."""
+    q = asked(queries, c)
+    if c.mode == "exact":
+        return exact_answers(queries, q, at, c, flt)
+    looked = lookups(q)
+    parts = [ngram_hits(looked, s, c, flt, dead, prefix) for s, dead in at.parts]
+    hits = parts[0][0].select("qk", "entry_id", "score", "keys", "k")
+    for x, _ in parts[1:]:
+        hits = hits.unionByName(x.select("qk", "entry_id", "score", "keys", "k"))
+    hits = cut(hits, F.col("k"), F.desc("score"), F.col("entry_id"), name="qk").drop("k")
+    hits = attributed(hits, looked, c) if with_keys else hits.drop("keys")
+    out = q.select("query_id", lookup_key()).join(hits, "qk").drop("qk")
+    seen = None
+    for _, x in parts:
+        if x is not None:
+            seen = x if seen is None else seen.unionByName(x)
+    return out, counted(queries, q.select("query_id", lookup_key()).join(seen.groupBy("qk").agg(*tallies()), "qk") if seen is not None else None)
+
+
+def tallies() -> tuple[Column, Column]:
+    return F.count(F.lit(1)).alias("evaluated"), F.count_if(F.col("flag") != 1).alias("rejected")
+
+
+def counted(queries: DataFrame, seen: DataFrame | None) -> DataFrame:
+    if seen is None:
+        return queries.select("query_id", F.lit(0).cast("long").alias("evaluated"), F.lit(0).cast("long").alias("rejected"))
+    return queries.select("query_id").join(seen, "query_id", "left").select("query_id", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("evaluated", "rejected")))
 
 
 def ngram_search(queries: DataFrame, entries: DataFrame, c: ListConfig, flt: TypedFilter | None = None, prefix: bool = True, dead: DataFrame | None = None, with_keys: bool = True) -> DataFrame:
-    """(query_id, entry_id, score, key). dead: ids of tombstoned entries. Unfiltered, the cut is as much larger as there
-    are tombstones and comes before they go; filtered, they and the filter come first."""
-    hits = scored(queries, entry_grams(entries, c), c, prefix).join(entries.withColumnRenamed("id", "entry_id"), "ord")
-    order = (F.desc("score"), F.col("ord"))
-    if flt and flt.terms:
-        live = hits.join(dead.select(F.col("id").alias("entry_id")), "entry_id", "left_anti") if dead is not None else hits
-        hits = cut(matching(live, flt, c.fields), c.k, *order)
-    elif dead is not None:
-        n = dead.select("id").distinct().agg(F.count(F.lit(1)).alias("__dead"))
-        hits = cut(hits.crossJoin(F.broadcast(n)), F.lit(c.k) + F.col("__dead"), *order) if c.k else hits  # n has one row
-        hits = hits.join(dead.select(F.col("id").alias("entry_id")), "entry_id", "left_anti")
-    else:
-        hits = cut(hits, c.k, *order)
-    hits = cut(hits, c.k, F.desc("score"), F.col("entry_id")).select("query_id", "entry_id", "score", "keys")
-    return attributed(hits, queries, c) if with_keys else hits.drop("keys")
+    """search() of entries without overlay. dead: ids of tombstoned entries."""
+    return search(queries, Snapshot(Segment.of(entries, c), dead=dead), c, flt, prefix, with_keys)
 
 
 def exact_keys(entries: DataFrame, c: ListConfig) -> DataFrame:
+    """(a, ord, key): each analysed key of an entry with the first key that has it."""
     keys = entries.select("ord", F.posexplode("keys").alias("pos", "key")).withColumn("a", analyze(F.col("key"), c.steps)).where("a != ''")
     return keys.groupBy("a", "ord").agg(F.min_by("key", "pos").alias("key"))
 
 
-def exact_search(queries: DataFrame, entries: DataFrame, c: ListConfig, flt: TypedFilter | None = None) -> DataFrame:
-    """(query_id, entry_id, score, key): entries with an equal analysed key, score 100, or with fallback the nearest parent
-    level that has any left after the filter, score 90. The cut is by ordinal."""
-    q = queries.select("query_id", analyze(F.col("q"), c.steps).alias("a")).where("a != ''")
-    if c.fallback:
-        q = q.select("query_id", F.posexplode(parents(F.col("a"))).alias("level", "a"))
-    else:
-        q = q.withColumn("level", F.lit(0))
-    q = q.withColumn("score", F.when(F.col("level") == 0, 100.0).otherwise(90.0)).where(F.col("score") >= c.floor * 100)
-    hits = q.join(exact_keys(entries, c), "a").join(entries.select("ord", F.col("id").alias("entry_id"), *([c_ for c_ in entries.columns if c_ == "payload"])), "ord")
-    hits = matching(hits, flt, c.fields)
-    hits = hits.withColumn("near", F.min("level").over(Window.partitionBy("query_id"))).where("level = near")
-    return cut(hits, c.k, F.col("ord")).select("query_id", "entry_id", "score", "key")
+def exact_answers(queries: DataFrame, q: DataFrame, at: Snapshot, c: ListConfig, flt: TypedFilter | None) -> tuple[DataFrame, DataFrame]:
+    """Entries with an equal analysed key, score 100, or with fallback the nearest parent level that has any left after
+    tombstones and filter, score 90. Survivors are taken in the order base, overlay, ordinal until there are k."""
+    q = q.select("query_id", "floor", "k", F.posexplode(parents(F.col("a"))).alias("level", "a")) if c.fallback else q.withColumn("level", F.lit(0))
+    q = q.withColumn("score", F.when(F.col("level") == 0, 100.0).otherwise(90.0)).where(F.col("score") >= F.col("floor") * 100)
+    hits = None
+    for rank, (s, dead) in enumerate(at.parts):
+        payload = [x for x in ("payload",) if x in s.entries.columns]
+        part = q.join(s.keys, "a").join(s.entries.select("ord", F.col("id").alias("entry_id"), *payload), "ord").withColumn("rank", F.lit(rank))
+        if dead is not None:
+            part = part.join(dead.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_anti")
+        hits = part if hits is None else hits.unionByName(part, allowMissingColumns=True)
+    if not flt or not flt.terms:
+        hits = hits.withColumn("near", F.min("level").over(Window.partitionBy("query_id"))).where("level = near")
+        return cut(hits, F.col("k"), F.col("rank"), F.col("ord")).select("query_id", "entry_id", "score", "key"), counted(queries, None)
+    by = Window.partitionBy("query_id").orderBy("level", "rank", "ord")
+    flags = hits.withColumn("flag", flt.verdict(F.col("payload"), c.fields))
+    flags = flags.withColumn("near", F.min(F.when(F.col("flag") == 1, F.col("level"))).over(Window.partitionBy("query_id")))
+    flags = flags.withColumn("ahead", F.coalesce(F.sum(F.when(F.col("flag") == 1, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # levels beyond the winner and entries after the last one wanted are not looked at, so they cannot fail the query either
+    flags = flags.where("(near IS NULL OR level <= near) AND (k <= 0 OR ahead < k)")
+    flags = flags.withColumn("flag", F.when(F.col("flag") < 0, F.raise_error(F.lit("malformed payload")).cast("int")).otherwise(F.col("flag")))
+    return flags.where("flag = 1").select("query_id", "entry_id", "score", "key"), counted(queries, flags.groupBy("query_id").agg(*tallies()))
+
+
+def exact_search(queries: DataFrame, entries: DataFrame, c: ListConfig, flt: TypedFilter | None = None, dead: DataFrame | None = None) -> DataFrame:
+    return search(queries, Snapshot(Segment.of(entries, c), dead=dead), c, flt)
 
 
 def merge_lists(parts: dict[str, DataFrame], k: int = 100) -> DataFrame:
@@ -150,3 +279,14 @@ def merge_lists(parts: dict[str, DataFrame], k: int = 100) -> DataFrame:
         df = df.withColumns({"list": F.lit(name), "__pos": F.lit(pos)})
         out = df if out is None else out.unionByName(df)
     return cut(out, k, F.desc("score"), F.col("entry_id"), F.col("__pos")).drop("__pos")
+
+
+def search_lists(queries: DataFrame, lists: dict[str, tuple[Snapshot, ListConfig]], names: list[str], topk: int | None = None, flt: TypedFilter | None = None) -> DataFrame:
+    """The hits of the named lists, put together. Names count once, in order; one that is missing is an error that names all of
+    them. Each list is cut at topk, or at its own limit but no more than 100; the whole at topk or 100."""
+    names = list(dict.fromkeys(names))
+    gone = [n for n in names if n not in lists]
+    if gone:
+        raise KeyError(f"no such list: {', '.join(gone)}")
+    own = lambda c: topk or min(c.k or 100, 100)
+    return merge_lists({n: search(queries, lists[n][0], lists[n][1].but(topk=own(lists[n][1])), flt) for n in names}, topk or 100)

@@ -36,27 +36,5 @@ def test_fold_takes_whole_texts(spark, tmp_path):
     texts = ["é" * 70 + " plain " * 20 + "über ñandú", "x" * 64 + "àéîõü", "plain", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     bare = lambda t: t and "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
-    got = {r.doc_id: r.a for r in catalogue.QUERIES["analyze_fold_diacritics_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.a for r in catalogue.QUERIES["analyze_fold_diacritics"](spark, str(tmp_path)).collect()}
     assert got == {i: bare(t) for i, t in enumerate(texts)}
-
-
-CUTS = ("WHERE p_partkey <= 40", "WHERE a.c_custkey % 3 = 0", "WHERE a.p_partkey <= 10", "WHERE page_id % 3 = 0", "WHERE p_partkey <= 30", "WHERE p_partkey <= 20")
-
-
-@pytest.mark.parametrize("name", sorted(x for x in catalogue.QUERIES if x.endswith("_whole") and not x.startswith(("analyze", "recall"))))
-def test_whole_tables(spark, duck, name):
-    """Every row is a lookup or entry: the SQL of the sample, without its cut, on tables small enough for it."""
-    sql = catalogue.SQL[name.removesuffix("_whole")]
-    assert any(x in sql for x in CUTS)
-    for x in CUTS:
-        sql = sql.replace(x, "")
-    found = duck.execute(sql)
-    cols = [x[0] for x in found.description]
-    want = sorted(map(repr, found.fetchall()))
-    assert sorted(map(repr, (tuple(r[c] for c in cols) for r in catalogue.QUERIES[name](spark, DIR).collect()))) == want
-
-
-def test_recall_whole(spark, duck):
-    n = duck.execute("select count(*) from part").fetchone()[0]
-    rows = catalogue.QUERIES["recall_by_category_whole"](spark, DIR).collect()
-    assert n > 40 and {r.cases for r in rows} == {n} and {r.category: r.recall for r in rows}["EXACT"] == 1.0
