@@ -16,6 +16,7 @@ from start 0. sequence_id is unique: the partition's number, then a number in it
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,8 @@ from .textnp import BASE, U, mix
 LENGTH, DIMS, BITS = 1024, 4, 12
 #: Bytes of ids in a partition of the curve.
 PART = 64_000_000
+#: Code points that classes() does not know.
+BEYOND = re.compile("[\u0250-\U0010ffff]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -112,12 +115,13 @@ class Tokens:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         sizes = np.zeros(len(texts), np.int64)
-        plain = [i for i, x in enumerate(texts) if x and "'" not in x and (x.isascii() or max(x) < "ɐ") and not any(y in x for y in self.added)]
+        plain = [i for i, x in enumerate(texts) if x and "'" not in x and (x.isascii() or not BEYOND.search(x)) and not any(y in x for y in self.added)]
         odd = sorted(set(range(len(texts))) - set(plain))
         slow = {i: np.array(self.slow(texts[i]), np.uint16) for i in odd}
         flat, firsts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
         if plain:
-            points = np.frombuffer("".join(texts[i] for i in plain).encode("utf-32-le"), np.uint32)
+            whole = "".join(texts[i] for i in plain)
+            points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
             ends = np.cumsum([len(texts[i]) for i in plain])
             begin = np.concatenate([cuts(points[a:b]) + a for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)])
             lens = np.diff(np.append(begin, len(points)))
@@ -126,7 +130,7 @@ class Tokens:
             power = np.full(int(lens.max()), BASE, U)
             power[0] = 1
             words = mix(np.add.reduceat(hashed * np.multiply.accumulate(power)[pos], begin) + lens.astype(U))
-            where = self.find(words, begin, lens, points)
+            where = self.find(words, begin, lens, points, whole)
             n = self.count[where]
             total = np.cumsum(n)
             flat = self.ids[np.repeat(self.at[where], n) + np.arange(int(total[-1])) - np.repeat(total - n, n)]
@@ -145,35 +149,33 @@ class Tokens:
                 k += 1
         return np.concatenate(parts) if parts else flat, sizes
 
-    def find(self, words: np.ndarray, begin: np.ndarray, lens: np.ndarray, points: np.ndarray) -> np.ndarray:
-        known, first = np.unique(words, return_index=True)
-        old = np.isin(known, self.keys, assume_unique=True)
-        fresh = first[~old]
+    def find(self, words: np.ndarray, begin: np.ndarray, lens: np.ndarray, points: np.ndarray, whole: str) -> np.ndarray:
+        known, first, back = np.unique(words, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, known)
+        old = np.zeros(len(known), bool)
+        inside = at < len(self.keys)
+        old[inside] = self.keys[at[inside]] == known[inside]
         if old.any():
-            a, b = first[old], np.searchsorted(self.keys, known[old])
+            a, b = first[old], at[old]
             same = self.lens[b] == lens[a]
             if same.all():
                 pos = np.arange(int(lens[a].sum())) - np.repeat(np.cumsum(lens[a]) - lens[a], lens[a])
                 same = points[np.repeat(begin[a], lens[a]) + pos] == self.points[np.repeat(self.from_[b], lens[a]) + pos]
-            if not same.all():  # two pre-tokens of one hash: forget all
+            if not same.all() or len(self.keys) + len(known) - len(a) > self.MOST:  # two pre-tokens of one hash, or too many: forget all
                 self.clear()
-                fresh = first
-        if len(fresh):
-            if len(self.keys) + len(fresh) > self.MOST:
-                self.clear()
-                fresh = first
-            got = [self.encoder.encode_ordinary(points[b : b + n].tobytes().decode("utf-32-le")) for b, n in zip(begin[fresh], lens[fresh], strict=True)]
-            n = np.array([len(x) for x in got], np.int64)
-            keys, at = np.append(self.keys, words[fresh]), np.append(self.at, len(self.ids) + np.cumsum(n) - n)
+                at, old = np.zeros(len(known), np.int64), np.zeros(len(known), bool)
+        if not old.all():
+            fresh, at = first[~old], at[~old]
+            encode = self.encoder.encode_ordinary
+            got = [encode(whole[b:e]) for b, e in zip(begin[fresh].tolist(), (begin[fresh] + lens[fresh]).tolist(), strict=True)]
+            n, size = np.array([len(x) for x in got], np.int64), lens[fresh]
+            self.at = np.insert(self.at, at, len(self.ids) + np.cumsum(n) - n)
             self.ids = np.append(self.ids, np.array([y for x in got for y in x], np.uint16))
-            size = lens[fresh]
-            from_ = np.append(self.from_, len(self.points) + np.cumsum(size) - size)
+            self.from_ = np.insert(self.from_, at, len(self.points) + np.cumsum(size) - size)
             pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             self.points = np.append(self.points, points[np.repeat(begin[fresh], size) + pos])
-            order = np.argsort(keys)
-            self.keys, self.at, self.count = keys[order], at[order], np.append(self.count, n)[order]
-            self.from_, self.lens = from_[order], np.append(self.lens, size)[order]
-        return np.searchsorted(self.keys, words)
+            self.keys, self.count, self.lens = np.insert(self.keys, at, known[~old]), np.insert(self.count, at, n), np.insert(self.lens, at, size)
+        return np.searchsorted(self.keys, known)[back]
 
 
 @lru_cache(1)
