@@ -127,3 +127,30 @@ def parents(c: Column) -> Column:
     parts = F.split(c, r"\.")
     up = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     return F.filter(up, lambda x: x != "")
+
+
+def register(spark) -> None:
+    """The analysers for SQL: fold_diacritics(s), idna_domain(s), parent_suffixes(s) as a table function of (level, suffix)."""
+    import pandas as pd
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="level int, suffix string")
+    class Suffixes:
+        def eval(self, s: str):
+            while s:
+                yield self.level, s
+                self.level += 1
+                s = s.partition(".")[2]
+                if "." not in s:
+                    return
+
+        def __init__(self):
+            self.level = 0
+
+    def bare(s: pd.Series) -> pd.Series:
+        marks = lambda x: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
+        return s.map(lambda x: x if x is None or x.isascii() else marks(x))
+
+    spark.udf.register("fold_diacritics", F.pandas_udf(bare, StringType()))
+    spark.udf.register("idna_domain", _idna)
+    spark.udtf.register("parent_suffixes", Suffixes)

@@ -87,7 +87,7 @@ def test_log_and_delta(spark):
 def test_mapping(spark, tmp_path):
     (tmp_path / "f.csv").write_text("id;name;alt\n1;Ann;A. | B\n2;;\n;Zed;\n3;Bo;x;more\n")
     rows = read_csv(spark, str(tmp_path / "f.csv"), ("id", "name", "alt"), ";")
-    assert [r._bad for r in rows.orderBy("id").collect()].count(True) == 1
+    assert [r._bad for r in rows.orderBy("id").collect()].count("data beyond the header") == 1
     m = Mapping(ids=("id",), keys=(KeyRule(("name",)), KeyRule(("alt",), split="|")), payload=(("n", "name"),))
     got = {r.id: (r["keys"], r.status) for r in map_records(rows, m).collect()}
     assert got["1"] == (["Ann", "A.", "B"], "ok") and got["2"][1] == "bad" and got[None][1] == "bad"
@@ -99,3 +99,11 @@ def test_stream(spark, tmp_path):
     q = spark.readStream.schema("query_id string, q string").parquet(str(tmp_path / "in"))
     match_stream(q, e, ListConfig(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first().entry_id == "k"
+
+
+def test_registered_functions(spark):
+    from stringloom.functions.text import register
+
+    register(spark)
+    assert spark.sql("SELECT fold_diacritics('É-𝅗𝅥-ß')").first()[0].startswith("E-")
+    assert [tuple(r) for r in spark.sql("SELECT * FROM parent_suffixes('a.b.c')").collect()] == [(0, "a.b.c"), (1, "b.c")]
