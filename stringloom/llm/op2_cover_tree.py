@@ -11,6 +11,9 @@ radii and the threshold distance cannot hold a link and is pruned. Only what lea
 In data without near neighbours every vector is a child of its root, and the pairs of those are what is tested: then the work
 is quadratic per label, in blocks, as no bound can prune more. It falls with the share of vectors that lie in clusters.
 
+Trees are dealt by hash to groups of about TILE bytes; the pairs of trees of two groups that remain are one task, which gets each
+of these trees once. So vectors shuffle once for each group they have to meet.
+
 Equal vectors of a label are one point with a count. Links are not emitted: a pair of trees gives each vector's number of
 links and a spanning forest of the links, so a group of very many near copies yields rows in proportion to its size.
 
@@ -35,6 +38,8 @@ from .components import components
 from .covertree import Links, Tree, traverse
 
 LEAF, FAN, SAMPLE, DEPTH = 4096, 16, 512, 12
+#: Bytes of vectors in a group of trees.
+TILE = 16_000_000
 
 
 def distance(cosine: float) -> float:
@@ -109,20 +114,25 @@ def planted(t: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"root": t.column("root").slice(0, 1), "node": t.column("node").slice(0, 1), "block": t.column("block").slice(0, 1), "tree": pa.array([packed], pa.binary())})
 
 
-def compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """(id, links, other, compared, pairs): per pair of trees each vector's number of links, and edges of a forest of the links;
-    and one row, without id, of how many pairs of vectors were compared, and of all of them."""
-    names = ["id", "links", "other", "compared", "pairs"]
-    for batch in batches:
-        for k in range(batch.num_rows):
-            side = []
-            for s in "ab":
-                ids, copies, raw, tree = pickle.loads(batch.column(f"tree_{s}")[k].as_buffer())
-                tree.x = unit(raw)
-                side.append((ids, copies, raw, tree))
-            if batch.column("same")[k].as_py():
-                side[1] = side[0]
-            (ia, wa, ra, ta), (ib, wb, rb, tb) = side
+def compare(t: pa.Table, cosine: float) -> pa.Table:
+    """(id, links, other, compared, pairs): for each pair of trees of a tile each vector's number of links, and edges of a forest of
+    the links; and one row, without id, of how many pairs of vectors were compared, and of all of them."""
+    nodes, blocks, packed, others = (t.column(x) for x in ("node", "block", "tree", "others"))
+    at = {(n, b): k for k, (n, b) in enumerate(zip(nodes.to_pylist(), blocks.to_pylist(), strict=True))}
+    sides: dict[int, tuple] = {}
+
+    def side(k: int) -> tuple:
+        if k not in sides:
+            ids, copies, raw, tree = pickle.loads(packed[k].as_buffer())
+            tree.x = unit(raw)
+            sides[k] = ids, copies, raw, tree
+        return sides[k]
+
+    out = [[] for _ in range(3)]
+    compared = pairs = 0
+    for i, met in enumerate(others.to_pylist()):
+        for other in met:
+            (ia, wa, ra, ta), (ib, wb, rb, tb) = side(i), side(at[other["node"], other["block"]])
             found = Links(ta, tb, wa, wb)
 
             def exact(i: np.ndarray, j: np.ndarray, x: np.ndarray = ra, y: np.ndarray = rb) -> np.ndarray:
@@ -131,16 +141,22 @@ def compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
             traverse(ta, tb, found, cosine, exact)
             first = found.forest()
             if found.same:
-                ids, n, total = ia, found.count[0] + found.count[1], len(ia) * (len(ia) - 1) // 2
+                ids, n = ia, found.count[0] + found.count[1]
+                pairs += len(ia) * (len(ia) - 1) // 2
             else:
-                ids, n, total = np.concatenate([ia, ib]), np.concatenate(found.count), len(ia) * len(ib)
+                ids, n = np.concatenate([ia, ib]), np.concatenate(found.count)
+                pairs += len(ia) * len(ib)
+            compared += found.compared
             keep = (n > 0) | (first != np.arange(len(ids)))
-            m = int(keep.sum())
-            columns = [pa.array([*ids[keep].tolist(), None], pa.int64()), pa.array(np.append(n[keep], 0)), pa.array([*ids[first[keep]].tolist(), None], pa.int64()), pa.array([0] * m + [found.compared], pa.int64()), pa.array([0] * m + [total], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for column, x in zip(out, (ids[keep], n[keep], ids[first[keep]]), strict=True):
+                column.append(x)
+    ids, n, first = (np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+    none, zero = pa.nulls(1, pa.int64()), np.zeros(len(ids), np.int64)
+    columns = [pa.chunked_array([pa.array(ids), none]), pa.array(np.append(n, 0)), pa.chunked_array([pa.array(first), none]), pa.array(np.append(zero, compared)), pa.array(np.append(zero, pairs))]
+    return pa.table(columns, ["id", "links", "other", "compared", "pairs"]).combine_chunks()
 
 
-def found_links(classes: DataFrame, cosine: float, leaf: int) -> DataFrame:
+def found_links(classes: DataFrame, cosine: float, leaf: int, tile: int = TILE) -> DataFrame:
     """compare() of all pairs of trees that no bound prunes; classes: (id, root, size, v, copies)."""
     members = classes.withColumns({"node": F.lit(1).cast("long"), "up": F.lit(0).cast("long"), "far": F.lit(2.0), "center": F.col("v")})
     key = ["root", "node"]
@@ -193,27 +209,40 @@ def found_links(classes: DataFrame, cosine: float, leaf: int) -> DataFrame:
     for x in leaves[1:]:
         flat = flat.unionByName(x.select("id", *key, "v", "copies"))
     # a leaf that could not be split further is cut into blocks, so a block never has many more than `leaf` rows
-    sizes = stage(flat.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / leaf).alias("cuts")), "op2-cuts")
-    flat = flat.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    sizes = stage(flat.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "op2-cuts")
+    flat = flat.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / leaf)))
     trees = stage(flat.select("id", *key, "block", "v", "copies").groupBy(*key, "block").applyInArrow(lambda t: planted(t.sort_by("id"), cosine), "root string, node long, block long, tree binary"), "op2-trees")
-    # the trees of a pair meet in a row of their own: ids first, then what they stand for
-    names = trees.select(*key, "block")
-    one = lambda s: names.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "block")))
+    # trees are dealt to groups, and two groups meet in a tile: a tree goes out once for each group it has to meet, not once a tree
+    groups = sizes.groupBy("root").agg(F.sum("n").alias("n")).join(classes.groupBy("root").agg(F.first("size").alias("size")), "root").select("root", F.ceil(F.col("n") * F.col("size") * 8 / tile).alias("groups"))
+    names = trees.select(*key, "block").join(groups, "root").withColumn("group", F.pmod(F.xxhash64("node", "block"), F.col("groups")))
+    one = lambda s: names.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "group")))
     ready = meet.join(one("a"), ["root", "node_a"]).join(one("b"), ["root", "node_b"]).where("node_a != node_b OR block_a <= block_b")
-    for s in "ab":
-        ready = ready.join(trees.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "tree"))), ["root", f"node_{s}", f"block_{s}"])
-    ready = ready.select("tree_a", "tree_b", F.expr("node_a = node_b AND block_a = block_b").alias("same"))
-    return stage(ready.repartition(F.xxhash64("tree_a", "tree_b")).mapInArrow(lambda b: compare(b, cosine), "id long, links long, other long, compared long, pairs long"), "op2-links")
-
-
-def near_vectors(rows: DataFrame, cosine: float = 0.93, leaf: int = LEAF) -> DataFrame:
+    tiles = ["root", "low", "high"]
+    ready = ready.select(
+        "root",
+        F.least("group_a", "group_b").alias("low"),
+        F.greatest("group_a", "group_b").alias("high"),
+        F.expr("struct(node_b AS node, block_b AS block)").alias("other"),
+        "node_a",
+        "block_a",
+    )
+    ready = ready.select(
+        *tiles,
+        F.expr("inline(array(struct(node_a AS node, block_a AS block, other), struct(other.node AS node, other.block AS block, IF(true, null, other) AS other)))"),
+    )
+    sent = ready.groupBy(*tiles, "node", "block").agg(F.collect_list("other").alias("others"))
+    sent = sent.join(trees, [*key, "block"]).select(*tiles, "node", "block", "others", "tree")
+    return stage(sent.groupBy(*tiles).applyInArrow(lambda t: compare(t, cosine), "id long, links long, other long, compared long, pairs long"), "op2-links")
+
+
+def near_vectors(rows: DataFrame, cosine: float = 0.93, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     fine = F.coalesce(usable(), F.lit(False))
     own = stage(vectors(rows.where(fine)), "op2-vectors").withColumn("root", F.concat_ws(":", "label", "size"))
     classes = own.groupBy("root", "size", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "op2-classes")  # written, so an id stays
-    got = found_links(classes.select("id", "root", "size", "v", "copies"), cosine, leaf).where("id IS NOT NULL")
+    got = found_links(classes.select("id", "root", "size", "v", "copies"), cosine, leaf, tile).where("id IS NOT NULL")
     links = got.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(got.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     of = classes.select("id", "root", "v", "least", "copies").join(links, "id", "left").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))

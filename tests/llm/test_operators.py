@@ -253,8 +253,8 @@ def test_op5_tokens(text):
     assert got.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
 
 
-@pytest.mark.parametrize("leaf", [4096, 12])
-def test_op2(spark, leaf):
+@pytest.mark.parametrize(("leaf", "tile"), [(4096, op2_cover_tree.TILE), (12, op2_cover_tree.TILE), (12, 1500)])
+def test_op2(spark, leaf, tile):
     rng = np.random.default_rng(3)
     vs = []
     for k in range(60):
@@ -272,7 +272,7 @@ def test_op2(spark, leaf):
     for _ in range(20):
         for a, b in pairs:
             comp[a] = comp[b] = min(comp[a], comp[b])
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op2_cover_tree.near_vectors(df, leaf=leaf).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op2_cover_tree.near_vectors(df, leaf=leaf, tile=tile).collect()}
     assert got == {i: (links[i], comp[i], comp[i] == i) for i in links}
 
 
@@ -284,8 +284,8 @@ def test_op2_null_and_repeated_ids(spark):
     assert got == sorted([("1", 2, "1", True), ("2", 1, "2", True), ("None", 2, "1", False), ("None", 1, "2", False), ("5", 0, "5", True), ("5", 2, "1", False), ("None", 0, "None", True)])
 
 
-@pytest.mark.parametrize("leaf", [4096, 300])
-def test_op2_prunes(spark, leaf):
+@pytest.mark.parametrize(("leaf", "tile"), [(4096, op2_cover_tree.TILE), (300, 200_000)])
+def test_op2_prunes(spark, leaf, tile):
     """Thousands of linked vectors of 64 dimensions in clusters: equal to brute force, and most pairs are never compared."""
     rng = np.random.default_rng(9)
     centers = rng.normal(size=(60, 64))
@@ -302,10 +302,10 @@ def test_op2_prunes(spark, leaf):
             break
         comp = new
     assert link.sum() > 10_000
-    got = {r.vec_id: (r.n_links, r.component_id) for r in op2_cover_tree.near_vectors(df, leaf=leaf).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op2_cover_tree.near_vectors(df, leaf=leaf, tile=tile).collect()}
     assert got == {i: (int(link[i].sum()), int(comp[i])) for i in range(len(v))}
     classes = op2_cover_tree.vectors(df.withColumn("label", F.col("label").cast("string"))).select(F.col("vec_id").alias("id"), F.concat_ws(":", "label", "size").alias("root"), "size", "v", F.lit(1).cast("long").alias("copies"))
-    done = op2_cover_tree.found_links(classes, 0.93, leaf).agg(F.sum("compared"), F.sum("pairs")).first()
+    done = op2_cover_tree.found_links(classes, 0.93, leaf, tile).agg(F.sum("compared"), F.sum("pairs")).first()
     assert done[0] < len(v) ** 2 / 4 * 0.5
 
 
