@@ -1,8 +1,9 @@
 """Packing along a space-filling curve.
 
 Each document's token ids are projected, by fixed pseudo-random vectors per id, to DIMS numbers; their cell on a Hilbert
-curve is the sort key. Documents are range-partitioned by (key, doc_id), so that even a key that very many copies share
-is split, and sorted. Each partition joins its documents along the curve and cuts every 1024 ids; what is left at its end
+curve is the sort key. Documents are dealt to ranges of (key, doc_id), so that even a key that very many copies share is
+split, and sorted. Where ranges end is decided by a sample of at most SAMPLE rows that hashes of the rows themselves pick, so
+reruns with the same number of partitions give the same pieces; the sample only balances the ranges. Each partition joins its documents along the curve and cuts every 1024 ids; what is left at its end
 becomes sequences of powers of two, which need no padding. Only ids and keys shuffle.
 
 Ids are those of the tokenizers file. Texts that hold one of its added tokens (<|endoftext|>) are encoded by tokenizers itself,
@@ -32,6 +33,8 @@ from .textnp import BASE, U, mix
 LENGTH, DIMS, BITS = 1024, 4, 12
 #: Bytes of ids in a partition of the curve.
 PART = 64_000_000
+#: Rows that decide the ranges.
+SAMPLE = 1_000_000
 #: Code points that classes() does not know.
 BEYOND = re.compile("[\u0250-\U0010ffff]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -253,13 +256,37 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, curve long, size long, ids binary")
 
 
+def bounds(ids: DataFrame, parts: int, rows: int) -> np.ndarray:
+    """Up to parts - 1 places along the curve that cut it into ranges of about the same bytes, by a sample that only the rows decide."""
+    share = min(1.0, min(100 * parts, SAMPLE) / max(rows, 1))
+    sample = ids.where(F.pmod(F.xxhash64("curve", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("curve", "doc_id", "size").toArrow()
+    at = places(sample.column("curve"), sample.column("doc_id"))
+    by = np.argsort(at, kind="stable")
+    total = np.cumsum(sample.column("size").to_numpy()[by])
+    if not len(total):
+        return at
+    return np.unique(at[by][np.searchsorted(total, total[-1] * np.arange(1, parts) / parts)])
+
+
+def places(curve: pa.Array | pa.ChunkedArray, doc_id: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Of (curve, doc_id) 16 bytes that sort like them; a null doc_id is the smallest."""
+    doc = doc_id.fill_null(-(1 << 63)).to_numpy().astype(np.int64)
+    both = np.stack([curve.to_numpy().astype(">u8"), (doc.view(U) ^ U(1 << 63)).astype(">u8")], 1)
+    return np.ascontiguousarray(both).view("S16").reshape(-1)
+
+
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """One row per piece."""
-    # staged, since range partitioning reads its input twice, once for a sample
     ids = stage(tokenized(docs, path), "op5-ids")
-    size = ids.agg(F.sum("size")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
-    laid = ids.drop("size").repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
+    size, rows = ids.agg(F.sum("size"), F.count(F.lit(1))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PART))
+    cut = bounds(ids, parts, rows)
+
+    @F.arrow_udf("int")
+    def part(curve: pa.Array, doc_id: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cut, places(curve, doc_id)), pa.int32())
+
+    laid = ids.drop("size").withColumn("part", part("curve", "doc_id")).repartitionById(parts, "part").sortWithinPartitions("curve", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(length)

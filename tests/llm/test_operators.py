@@ -242,6 +242,15 @@ def test_op5(docs):
         assert at <= 1024 and at & (at - 1) == 0
 
 
+def test_op5_reruns_agree(docs, spark):
+    """The same pieces however the rows lie, with repeated rows and ids that are null or very small; every range has documents."""
+    odd = spark.createDataFrame([(None, "no id"), (None, None), (-(1 << 63), "least"), (-5, "below zero"), (7, "seven again")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd).unionByName(docs.select("doc_id", "text").where("doc_id % 3 = 0"))
+    first, second = (sorted(map(str, op5_packing.pack(x).collect())) for x in (rows, rows.repartition(7, "text").union(rows.limit(0))))
+    assert first == second
+    assert len({r.sequence_id >> 40 for r in op5_packing.pack(rows).collect()}) == 4
+
+
 @pytest.mark.parametrize("text", ["it's  a \n\n test\t\tx 12ab ", "don''t", "ñ é  ü x", "日本 語", " ", "a\r\n b", "x!!  ?? 'll", "<|endoftext|>", "a <|endoftext|> b's"])
 def test_op5_tokens(text):
     path = op5_packing.vocabulary()
