@@ -11,7 +11,8 @@ least `width` bytes, and by the rows that such matches join, the first place whe
 An anchor with over HEAVY pieces is not indexed in one task as it is: equal pieces are merged in Spark, and each is cut in two at
 the anchor: the strings that go on after it for half of what they have besides it, and those that begin as far before it. The
 anchor and these bytes are a finer anchor, which equal strings share as well. That is repeated for those that still have over
-HEAVY different pieces, until the anchor is the whole string, and all meet in the same index.
+HEAVY different pieces, until the anchor is the whole string, and all meet in the same index. Pieces of heavy anchors are cut from
+the documents as they are read, without a shuffle of whole texts: copies of a text give the same pieces at later places.
 
 Defined results: a null text is empty. A null doc_id counts as larger than all others. Rows that share doc_id and text get
 the same result; of different texts with one doc_id the one with the smaller hash counts as earlier.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, stage, table, text_rows
 from .op1_substring import SHIFT, Units, check_width, first_of_text, repeated_anchors, runs_of, with_runs
-from .textnp import anchors, arrow_text, bytes_hash, covered, signed
+from .textnp import anchors, arrow_text, bytes_hash, covered, signed, slices
 
 GRAM, WIDTH, HEAVY, LARGE = 24, 100, 16_384, 10_000
 #: Bytes of text in one index.
@@ -127,8 +128,8 @@ def matches(text: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
     return again & (left >= width)
 
 
-def piece_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, piece, doc_id, h1, start) of each run; of equal pieces of one text only the first."""
+def piece_rows(batches: Iterator[pa.RecordBatch], width: int, hot: frozenset[int] = frozenset()) -> Iterator[pa.RecordBatch]:
+    """(anchor, piece, doc_id, h1, start) of each run whose anchor is not in `hot`; of equal pieces of one text only the first."""
     for batch in batches:
         buf, off = arrow_text(batch.column("text"))
         docs, h1, found = batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy(), batch.column("found")
@@ -137,7 +138,7 @@ def piece_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         for i in range(batch.num_rows):
             raw = buf[off[i] : off[i + 1]].tobytes()
             seen = set()
-            for x in sorted((y["at"], y["anchor"]) for y in found[i].as_py()):
+            for x in sorted((y["at"], y["anchor"]) for y in found[i].as_py() if y["anchor"] not in hot):
                 start, count = x[0] >> SHIFT, x[0] & ((1 << SHIFT) - 1)
                 piece = raw[start : start + count + width - 1]
                 if len(piece) >= width and (x[1], piece) not in seen:
@@ -152,6 +153,27 @@ def piece_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PIECE_TYPES, strict=True)], PIECE)
 
 
+def hot_rows(batches: Iterator[pa.RecordBatch], width: int, hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """(anchor, piece, doc_id, h1, start) of each run whose anchor is in `hot`; of equal pieces of a slice only the first."""
+    wanted, units = np.array(sorted(hot), np.int64), byte_anchors(width)
+    for batch in batches:
+        buf, off = arrow_text(batch.column("text"))
+        docs, h1 = batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy()
+        for i, j in slices(off):
+            row, start, count, value = units(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            value = signed(value)
+            at = np.flatnonzero(np.isin(value, wanted))
+            first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+            for r, s, n, v in zip(row[at].tolist(), start[at].tolist(), count[at].tolist(), value[at].tolist(), strict=True):
+                begin = int(off[i + r]) + s
+                key, place = (v, buf[begin : begin + n + width - 1].tobytes()), (int(docs[i + r]), int(h1[i + r]), s)
+                if key not in first or place < first[key]:
+                    first[key] = place
+            if first:
+                cols = [*zip(*first, strict=True), *zip(*first.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PIECE_TYPES, strict=True)], PIECE)
+
+
 PIECE = ["anchor", "piece", "doc_id", "h1", "start"]
 PIECE_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -267,16 +289,18 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, heavy: int = HEAVY) -> Dat
     info = stage(with_runs(found, first_of_text(rows)), "op4-heads").select(F.col("doc_id").alias("d"), F.col("h1").alias("g"), F.col("h2").alias("other"), "found", F.lit(True).alias("head"))
     # dealt by (doc_id, h1), as the answers are, so texts shuffle once; h2 is compared but no key
     texts = rows.join(info, (F.col("doc_id") == F.col("d")) & (F.col("h1") == F.col("g")) & (F.col("h2").bitwiseXOR(F.col("other")) == 0), "left").drop("d", "g", "other")
-    pieces = texts.where("found IS NOT NULL").select("doc_id", "h1", "text", "found").mapInArrow(lambda b: piece_rows(b, width), "anchor long, piece binary, doc_id long, h1 long, start long")
     large = stage(found.groupBy("anchor").count().where(F.col("count") > heavy), "op4-large")
-    if not large.isEmpty():
-        # at most LARGE rows; an anchor that is not among them has less than one row in LARGE, so the others are joined by shuffle
-        hot = large.orderBy(F.desc("count"), "anchor").limit(LARGE).select("anchor", F.lit(True).alias("heavy"))
-        marked = pieces.join(F.broadcast(hot), "anchor", "left")
+    # at most LARGE of them; an anchor that is not among them has less than one row in LARGE, so the others are joined by shuffle
+    hot = frozenset(x.anchor for x in large.orderBy(F.desc("count"), "anchor").limit(LARGE).collect())
+    schema = "anchor long, piece binary, doc_id long, h1 long, start long"
+    pieces = texts.where("found IS NOT NULL").select("doc_id", "h1", "text", "found").mapInArrow(lambda b: piece_rows(b, width, hot), schema)
+    if hot:
+        many = rows.select("doc_id", "h1", "text").mapInArrow(lambda b: hot_rows(b, width, hot), schema)
         if large.count() > LARGE:
-            others = large.select("anchor", F.lit(True).alias("other")).hint("merge")
-            marked = marked.join(others, "anchor", "left").withColumn("heavy", F.coalesce("heavy", "other")).drop("other")
-        pieces = marked.where("heavy IS NULL").drop("heavy").unionByName(refined(marked.where("heavy").drop("heavy"), width, heavy))
+            others = large.select("anchor").hint("merge")
+            many = many.unionByName(pieces.join(others, "anchor", "left_semi"))
+            pieces = pieces.join(others, "anchor", "left_anti")
+        pieces = pieces.unionByName(refined(many, width, heavy))
     pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h1", "start")
     told = pieces.mapInArrow(lambda b: indexed(b, width), "doc_id long, h1 long, start long, again binary")
     told = told.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", "again")).alias("firsts"))

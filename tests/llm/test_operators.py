@@ -99,6 +99,20 @@ def test_op4_every_heavy_anchor(spark, monkeypatch, large):
     assert got == want and sum(want.values()) > 1000
 
 
+def test_op4_heavy_pieces_without_shuffle(docs, monkeypatch):
+    """Pieces of heavy anchors come straight from the documents: whole texts don't shuffle once more for them."""
+    plans, refined = [], op4_suffix.refined
+
+    def look(many, *rest):
+        plans.append(many._jdf.queryExecution().executedPlan().toString())
+        return refined(many, *rest)
+
+    monkeypatch.setattr(op4_suffix, "refined", look)
+    got = {r.doc_id: tuple(r) for r in op4_suffix.suffix_dedup(docs, heavy=2).collect()}
+    assert plans and not any("Exchange" in x for x in plans)
+    assert got == {r.doc_id: tuple(r) for r in op4_suffix.suffix_dedup(docs).collect()}
+
+
 @pytest.mark.parametrize("width", [300, 400])
 def test_other_widths(spark, width):
     rng = random.Random(1)
