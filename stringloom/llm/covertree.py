@@ -7,12 +7,16 @@ than that apart. Nodes whose radius cannot separate a link from its copy any mor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Distances come from dot products; this is well beyond their error.
 MARGIN = 1e-6
-#: Children that meet the other node's at a time.
-SIDE = 512
+#: Nodes or points that meet others at a time.
+SIDE = 256
+#: Nodes to expand meet all others in one product if at least one in so many of their pairs is not pruned.
+DENSE = 16
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -92,10 +96,10 @@ class Links:
         rows, cols = link.any(1), link.any(0)
         if not rows.any():
             return
+        link, i, j = link[np.ix_(rows, cols)], i[rows], j[cols]
         self.count[0][i] += link @ self.weight[1][j]
         if not same:
-            self.count[1][j] += link.T @ self.weight[0][i]
-        link, i, j = link[np.ix_(rows, cols)], i[rows], j[cols]
+            self.count[1][j] += self.weight[0][i] @ link
         label = np.arange(len(i))  # of each row the first one that it is joined with
         while True:
             down = np.where(link, label[:, None], len(i)).min(0)
@@ -114,41 +118,148 @@ class Links:
 def traverse(a: Tree, b: Tree, found: Links, cosine: float, exact) -> None:
     """Every pair of points of a and b with that cosine goes to `found`. Pairs of nodes are taken level by level: those whose
     points are all too far apart go, and what remains between leaves is compared, unless all of it is near enough to link.
+    Of a pair the node with the larger radius is expanded, its children at once against all nodes that it still has to meet.
     exact(i, j) settles pairs at the threshold. If a is b, a pair of points counts once."""
+    if not len(a.x) or not len(b.x):
+        return
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    todo = [(0, 0)] if len(a.x) and len(b.x) else []
-    while todo:
-        i, j = todo.pop()
-        mine, theirs = a.children(i), b.children(j)
-        own = found.same and i == j
-        if i not in a.kids and j not in b.kids:
-            leaves(a, b, i, j, found, cosine, exact, own)
-            continue
+    inner_a, inner_b = (np.isin(np.arange(len(t.low)), list(t.kids)) for t in (a, b))
+    zero, wave = np.zeros(1, np.int64), []
+    selves = [0] if found.same else []
+
+    def near(mine: np.ndarray, theirs: np.ndarray, same: bool = False, asked=None) -> None:
         for at in range(0, len(mine), SIDE):
             part = mine[at : at + SIDE]
-            got = a.x[a.center[part]] @ b.x[b.center[theirs]].T
-            near = np.sqrt(np.maximum(2 - 2 * got, 0)) <= a.radius[part][:, None] + b.radius[theirs][None, :] + (reach + MARGIN)
-            if own:  # of two children one looks at the other, but nodes of one point are settled both ways
-                order = np.arange(at, at + len(part))[:, None] <= np.arange(len(theirs))[None, :]
-            rows, cols = np.flatnonzero(a.single[part]), np.flatnonzero(b.single[theirs])
-            if len(rows) and len(cols):
-                p, q, at_once = a.center[part[rows]], b.center[theirs[cols]], np.ix_(rows, cols)
-                settle(found, p, q, got[at_once], near[at_once] & (p[:, None] != q[None, :]) if own else near[at_once], cosine, exact, own)
-                near[at_once] = False
-            if own:
-                near &= order
-            for k, m in zip(*np.nonzero(near), strict=True):
-                todo.append((int(part[k]), int(theirs[m])))
-
-
-def settle(found: Links, p: np.ndarray, q: np.ndarray, got: np.ndarray, which: np.ndarray, cosine: float, exact, same: bool) -> None:
-    """Links of the points p of a and q of b with cosines `got`, of those pairs only that `which` names."""
-    found.compared += int(which.sum()) // (2 if same else 1)
-    link = which & (got >= cosine)
-    r, s = np.nonzero(which & (np.abs(got - cosine) < 1e-9))
-    if len(r):
-        link[r, s] = exact(p[r], q[s]) >= cosine
-    found.block(p, q, link, same)
+            apart = a.radius[part][:, None] + b.radius[theirs][None, :] + (reach + MARGIN)
+            keep = a.x[a.center[part]] @ b.x[b.center[theirs]].T >= 1 - apart * apart / 2 - 1e-12
+            if same:
+                keep &= np.arange(at, at + len(part))[:, None] < np.arange(len(theirs))[None, :]
+            r, s = np.nonzero(keep)
+            r, s = part[r], theirs[s]
+            if asked:
+                ok = asked(r, s)
+                r, s = r[ok], s[ok]
+            wave.append((r, s))
+
+    def meet(mine: np.ndarray, theirs: np.ndarray, asked=None) -> None:
+        """Nodes of a against nodes of b, of those pairs only that `asked` names."""
+        one, other = a.single[mine], b.single[theirs]
+        p, q = mine[one], theirs[other]
+        settle(a, b, a.center[p], b.center[q], found, cosine, exact, False, asked and (lambda r, s: asked(p[r], q[s])))
+        near(p, theirs[~other], False, asked)
+        near(mine[~one], theirs, False, asked)
+
+    def expand(t: Tree, own: np.ndarray, met: np.ndarray, turn) -> None:
+        """Pairs of nodes (own, met), whose own ones belong to t and are expanded. Where most of them meet, all do in one product."""
+        nodes, others = np.unique(own), np.unique(met)
+        if len(own) * DENSE < len(nodes) * len(others):
+            for k, x in grouped(own, met):
+                turn(t.kids[k], x, None)
+            return
+        kids = [t.kids[k] for k in nodes.tolist()]
+        parent = np.zeros(len(t.low), np.int64)
+        parent[np.concatenate(kids)] = np.repeat(nodes, [len(x) for x in kids])
+        known = np.sort(own << 32 | met)
+
+        def asked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            key = parent[x] << 32 | y
+            return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+        turn(np.concatenate(kids), others, asked)
+
+    if not found.same:
+        meet(zero, zero)
+    while selves or wave:
+        todo, wave = wave, []
+        todo_selves, selves = selves, []
+        for i in todo_selves:
+            if not inner_a[i]:
+                leaves(a, a, i, i, found, cosine, exact, True)
+                continue
+            kids = a.kids[i]
+            one, more = kids[a.single[kids]], kids[~a.single[kids]]
+            settle(a, a, a.center[one], a.center[one], found, cosine, exact, True)
+            near(one, more)
+            near(more, more, True)
+            selves += more.tolist()
+        if not todo:
+            continue
+        i, j = (np.concatenate(x) for x in zip(*todo, strict=True))
+        size_a, size_b = np.where(inner_a[i], a.radius[i], -1.0), np.where(inner_b[j], b.radius[j], -1.0)
+        last = ~inner_a[i] & ~inner_b[j]
+        point, other = last & a.single[i], last & ~a.single[i] & b.single[j]
+        for k, own in grouped(j[point], i[point]):
+            settle(a, b, a.center[own], b.points(k), found, cosine, exact, False)
+        for k, own in grouped(i[other], j[other]):
+            settle(a, b, a.points(k), b.center[own], found, cosine, exact, False)
+        rest = last & ~point & ~other
+        for k, m in zip(i[rest].tolist(), j[rest].tolist(), strict=True):
+            leaves(a, b, k, m, found, cosine, exact, False)
+        first = ~last & (size_a >= size_b)
+        second = ~last & ~first
+        if first.any():
+            expand(a, i[first], j[first], meet)
+        if second.any():
+            expand(b, j[second], i[second], lambda kids, x, asked: meet(x, kids, asked and (lambda r, s: asked(s, r))))
+
+
+def grouped(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each key."""
+    if len(key):
+        by = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.diff(key[by])) + 1
+        yield from zip(key[by[np.append(0, at)]].tolist(), np.split(value[by], at), strict=True)
+
+
+def heads(t: Tree) -> np.ndarray:
+    """Per point, single precision numbers whose products are no less than the cosines, but for rounding: the point's part in
+    3/8 of the dimensions, turned at random, and the length of what it has besides."""
+    if not hasattr(t, "head"):
+        size = t.x.shape[1]
+        if size < 32:
+            t.head = t.x.astype(np.float32)
+        else:
+            turned = t.x @ np.linalg.qr(np.random.default_rng(size).normal(size=(size, 3 * size // 8)))[0]
+            rest = np.sqrt(np.maximum(0, 1 - (turned * turned).sum(1)))
+            t.head = np.column_stack([turned, rest]).astype(np.float32)
+    return t.head
+
+
+def settle(a: Tree, b: Tree, p: np.ndarray, q: np.ndarray, found: Links, cosine: float, exact, same: bool, asked=None) -> None:
+    """Links of the points p of a and q of b, of those pairs only that `asked` names. same: they are the same points, and a pair
+    counts once. What the heads leave is compared in full."""
+    if not len(p) or not len(q):
+        return
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    least = min(1 - (reach + MARGIN) ** 2 / 2, cosine - 1e-9)
+    mine, theirs, size = heads(a)[p], heads(b)[q], a.x.shape[1]
+    rough = np.float32(least - 2e-6 - 2e-7 * mine.shape[1])
+    for at in range(0, len(p), SIDE):
+        part, low = p[at : at + SIDE], at if same else 0
+        others = q[low:]
+        may = mine[at : at + SIDE] @ theirs[low:].T >= rough
+        if same:
+            may[:, : len(part)] &= np.arange(len(part))[:, None] < np.arange(len(part))[None, :]
+        r, s = np.nonzero(may)
+        if len(r) * 8 < may.size:
+            step = max(1, 2_000_000 // size)
+            got = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a.x[part[r[k : k + step]]], b.x[others[s[k : k + step]]]) for k in range(0, len(r), step))])
+        else:
+            got = (a.x[part] @ b.x[others].T)[r, s]
+        ok = got >= least
+        r, s, got = r[ok], s[ok], got[ok]
+        if asked and len(r):
+            ok = asked(at + r, low + s)
+            r, s, got = r[ok], s[ok], got[ok]
+        found.compared += len(r)
+        link, edge = got >= cosine, np.abs(got - cosine) < 1e-9
+        if edge.any():
+            link[edge] = exact(part[r[edge]], others[s[edge]]) >= cosine
+        if link.any():
+            (rows, r), (cols, s) = np.unique(r[link], return_inverse=True), np.unique(s[link], return_inverse=True)
+            block = np.zeros((len(rows), len(cols)), bool)
+            block[r, s] = True
+            found.block(part[rows], others[cols], block, False)
 
 
 def leaves(a: Tree, b: Tree, i: int, j: int, found: Links, cosine: float, exact, same: bool) -> None:
@@ -156,11 +267,10 @@ def leaves(a: Tree, b: Tree, i: int, j: int, found: Links, cosine: float, exact,
     if same and len(p) == 1:
         return
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    which = ~np.eye(len(p), dtype=bool) if same else np.ones((len(p), len(q)), bool)
     if distances(a.x[a.center[[i]]], b.x[b.center[[j]]])[0, 0] + a.radius[i] + b.radius[j] <= reach - MARGIN:
-        found.block(p, q, which, same)
+        found.block(p, q, ~np.eye(len(p), dtype=bool) if same else np.ones((len(p), len(q)), bool), same)
     else:
-        settle(found, p, q, a.x[p] @ b.x[q].T, which, cosine, exact, same)
+        settle(a, b, p, q, found, cosine, exact, same)
 
 
 def spread(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -9,7 +9,8 @@ by level, in Spark down to the cover trees, then within each pair of those; a pa
 radii and the threshold distance cannot hold a link and is pruned. Only what leaves hold that remain is compared.
 
 In data without near neighbours every vector is a child of its root, and the pairs of those are what is tested: then the work
-is quadratic per label, in blocks, as no bound can prune more. It falls with the share of vectors that lie in clusters.
+is quadratic per label, in blocks, as no radius can prune more. It falls with the share of vectors that lie in clusters. Points
+that remain are compared by heads first, a bound on the cosine from part of the dimensions, then in full (covertree.settle).
 
 Trees are dealt by hash to groups of about TILE bytes; the pairs of trees of two groups that remain are one task, which gets each
 of these trees once. So vectors shuffle once for each group they have to meet.

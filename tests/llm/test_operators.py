@@ -332,6 +332,31 @@ def test_op2_prunes(spark, leaf, tile):
     assert done[0] < len(v) ** 2 / 4 * 0.5
 
 
+@pytest.mark.parametrize("size", [8, 64])
+def test_traversal_takes_nodes_at_once(monkeypatch, size):
+    """Two trees meet in few products, not one for each pair of nodes, and every link is found once."""
+    from stringloom.llm import covertree
+
+    rng, calls, settle = np.random.default_rng(6), [], covertree.settle
+    centers = rng.normal(size=(40, size))
+    x = np.concatenate([rng.normal(size=(700, size)), *(centers + rng.normal(size=(40, size)) * f for f in (0.01, 0.2, 0.25, 0.3, 0.35, 0.5))])
+    x = op2_cover_tree.unit(x[rng.permutation(len(x))])
+    weight = rng.integers(1, 4, len(x))
+    monkeypatch.setattr(covertree, "settle", lambda *a, **k: calls.append(1) or settle(*a, **k))
+    a, b = (covertree.Tree(x[k::2].copy(), op2_cover_tree.distance(0.93) / 4) for k in (0, 1))
+    for one, other, k in ((a, b, 1), (a, a, 0)):
+        found = covertree.Links(one, other, weight[::2], weight[k::2])
+        covertree.traverse(one, other, found, 0.93, lambda i, j, one=one, other=other: (one.x[i] * other.x[j]).sum(1))
+        link = one.x @ other.x.T >= 0.93
+        if one is other:
+            np.fill_diagonal(link, False)
+            assert (found.count[0] + found.count[1]).tolist() == (link @ weight[::2]).tolist()
+        else:
+            assert found.count[0].tolist() == (link @ weight[1::2]).tolist() and found.count[1].tolist() == (weight[::2] @ link).tolist()
+        assert link.any()
+    assert size == 8 or len(calls) < 500
+
+
 def test_cover_tree():
     """Levels nest, radii halve, children lie apart and cover their node."""
     from stringloom.llm.covertree import Tree, distances
