@@ -10,7 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.search import ListConfig, Segment, Snapshot, search
+from ..plans.search import ListConfig, Segment, Snapshot, meet, search
 from . import files, index
 
 ROW = ("id", "keys", "payload")
@@ -42,7 +42,7 @@ def fold(log: DataFrame) -> DataFrame:
 
 def live(base: DataFrame, folded: DataFrame) -> DataFrame:
     """Base rows that the log leaves alone, and its upserts."""
-    kept = base.select(*ROW).join(folded.select("id"), "id", "left_anti")
+    kept = meet(base.select(*ROW), folded.select("id"), "id", "left_anti")
     return kept.unionByName(folded.where("op = 'upsert'").select(*ROW))
 
 
@@ -53,7 +53,7 @@ def overlay(folded: DataFrame) -> DataFrame:
 
 def tombstones(base: DataFrame, folded: DataFrame) -> DataFrame:
     """(id) of base entries that the log deletes or supersedes."""
-    return base.select("id").join(folded.select("id"), "id", "left_semi")
+    return meet(base.select("id"), folded.select("id"), "id", "left_semi")
 
 
 def snapshot(base: Segment, folded: DataFrame, c: ListConfig) -> Snapshot:
@@ -256,7 +256,7 @@ def judged(asked: DataFrame, hits: DataFrame) -> DataFrame:
     best = hits.groupBy("query_id").agg(F.collect_list(F.struct("entry_id", "score")).alias("hits"))
     found = F.exists("hits", lambda x: (x["entry_id"] == F.col("expect_id")) & (x["score"] >= F.col("min_score")))
     none = F.coalesce(~F.exists("hits", lambda x: x["score"] >= F.col("min_score")), F.lit(True))
-    return asked.join(best, "query_id", "left").withColumn("passed", F.when(F.col("absent"), none).otherwise(F.coalesce(found, F.lit(False)))).drop("hits")
+    return meet(asked, best, "query_id", "left").withColumn("passed", F.when(F.col("absent"), none).otherwise(F.coalesce(found, F.lit(False)))).drop("hits")
 
 
 def table_hash(rows: DataFrame, kind: str = "base") -> str:

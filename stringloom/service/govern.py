@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import FilterError, TypedFilter
-from ..plans.search import ListConfig, Snapshot, search
+from ..plans.search import ListConfig, Snapshot, meet, search
 
 # Fixed limits of a check.
 RUNES, LISTS, TOPK, CHECKS = 512, 100, 1000, 100
@@ -94,7 +94,7 @@ def batch(checks: DataFrame, lists: dict[str, tuple[Snapshot, ListConfig]]) -> t
             asked = own.select(F.col("check_no").alias("query_id"), "q", F.when(F.col("threshold") == 0, -1.0).otherwise(F.col("threshold")).alias("threshold"), F.coalesce("topk", F.lit(default)).alias("topk"))
             hits = search(asked, at, c, TypedFilter.parse(text) if text else None)
             place = own.select(F.col("check_no").alias("query_id"), F.array_position("wanted", name).alias("place"), F.coalesce("topk", F.lit(100)).alias("most"))
-            parts.append(hits.withColumn("list", F.lit(name)).join(place, "query_id"))
+            parts.append(meet(hits.withColumn("list", F.lit(name)), place, "query_id"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
